@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module, query function and name of each query.
 OPERATORS = (
+    ("op1_pii", "pii"),
     ("op7_simhash_dedup", "simhash"),
+    ("op9_decontaminate", "decontaminate"),
+    ("op10_secrets", "secrets"),
 )
 
 
