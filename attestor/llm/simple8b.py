@@ -33,8 +33,8 @@ BLOCK = 1024
 SHARD_IDS = 1 << 20
 MAGIC = b"S8BSHARD"
 END_ID = 2
-#: Most chunks whose ids a worker keeps.
-CACHE = 400_000
+#: Chunks whose ids a worker keeps: those that it met first, so the frequent ones.
+CACHE = 700_000
 
 
 def _widths() -> list[int]:
@@ -46,29 +46,33 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    stop = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
-    need = np.zeros(n, np.uint8)
-    for bits in sorted(_widths()):
-        need += ids >= np.uint64(1 << bits)
-    # The selector at each id: the first (most ids) whose window has no id too wide and stays in the block.
-    select = np.full(n, ESCAPE, np.uint8)
+    place = np.arange(n, dtype=np.int32) % BLOCK
+    room = np.minimum(BLOCK - place, np.arange(n, 0, -1, dtype=np.int32)).astype(np.uint16)  # ids left in the block
+    small = ids.astype(np.uint16) if ids.max() < 1 << 16 else ids
     least = sorted(_widths())
-    for s in range(len(COUNTS) - 1, -1, -1):
-        c = COUNTS[s]
-        if c > n:
-            continue
-        wide = need > least.index(60 // c)
-        if c == 1:
-            select[~wide] = s
-            continue
-        total = np.zeros(n + 1, np.int32)
-        np.cumsum(wide, out=total[1:])
-        at = np.arange(n - c + 1, dtype=np.int64)
-        fits = (total[c:] == total[:-c]) & (at + c <= stop[: n - c + 1])
-        select[: n - c + 1][fits] = s
+    need = np.zeros(n, np.uint8)  # how many of the widths are too narrow for the id
+    for bits in least:
+        if small.itemsize == 8 or bits < 16:
+            need += small >= small.dtype.type(1 << bits)
+    # The selector at each id: the first (most ids) whose window has no id too wide and stays in the block. The largest need of
+    # a window comes from the windows of two shorter lengths.
+    most = {1: need}
+    for c in sorted(COUNTS):
+        if 1 < c <= n:
+            half = max(x for x in most if x < c)
+            rest = max(x for x in most if x >= c - half and x <= half)
+            m = n - c + 1
+            most[c] = np.maximum(most[half][:m], most[rest][c - rest : c - rest + m])
+    select = np.full(n, ESCAPE, np.uint8)
+    for s, c in enumerate(COUNTS):
+        if c <= n:
+            m = n - c + 1
+            fits = (most[c] <= least.index(60 // c)) & (room[:m] >= c)
+            np.minimum(select[:m], np.where(fits, np.uint8(s), np.uint8(ESCAPE)), out=select[:m])
+    stop = np.minimum((np.arange(0, n, BLOCK) + BLOCK), n)
     step = np.array([*COUNTS, 1, 1], np.int64)[select]
     # Follow the steps in all blocks at once to find where words begin.
-    at, last, begins = np.arange(0, n, BLOCK), stop[::BLOCK].copy(), np.zeros(n, bool)
+    at, last, begins = np.arange(0, n, BLOCK), stop, np.zeros(n, bool)
     while len(at):
         begins[at] = True
         at = at + step[at]
@@ -146,36 +150,60 @@ def read_shard(content: bytes, block: int | None = None) -> tuple[int, list[int
 class Encoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct chunk once.
 
-    A byte-level tokenizer splits a text before it merges, and always before a single space between two other characters
-    that aren't white space; so the chunks between such spaces can be encoded alone. Other texts are encoded whole.
+    A byte-level tokenizer splits a text before it merges, and always before a single space or newline that stands between
+    two characters that aren't white space. So the chunks that begin at such places can be encoded alone, many in one call,
+    and their ids kept. A text with white space of another form is encoded whole.
     """
 
-    def __init__(self, path: str):
-        import re
+    #: In keys: the chunk begins with a newline, or with the text. Other keys stand for a space and themselves.
+    NEWLINE, START = "\0", "\1"
 
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.odd = re.compile(r"\s | \s|^ | $")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, keys: list[str]) -> None:
+        """Sets known for each key; None where the white space around the chunk doesn't let it stand alone."""
+        starts, later = [], []
+        for k in keys:
+            body = k[1:] if k[:1] in (self.NEWLINE, self.START) and k else k
+            if k[:1] == self.START:
+                self.known[k] = None
+                if not body[-1:].isspace():
+                    starts.append(k)
+            elif not body or body[0].isspace() or body[-1].isspace():
+                self.known[k] = None
+            else:
+                later.append((k, "\n" + body if k[0] == self.NEWLINE else " " + body))
+        self.known.update(zip(starts, self._whole([k[1:] for k in starts]), strict=True))
+        groups = [later[i : i + 512] for i in range(0, len(later), 512)]
+        for group, e in zip(groups, self.tokenizer.encode_batch(["".join(x[1] for x in g) for g in groups], add_special_tokens=False), strict=True):
+            begin = np.cumsum([0, *(len(x[1]) for x in group)])
+            cuts = np.searchsorted(np.array([o[0] for o in e.offsets]), begin).tolist()
+            raw = np.array(e.ids, "<u4").tobytes()
+            self.known.update((x[0], raw[4 * i : 4 * j]) for x, i, j in zip(group, cuts, cuts[1:], strict=False))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without the end id."""
-        if len(self.later) + len(self.first) > CACHE:
-            self.first, self.later = {}, {}
-        split = [None if self.odd.search(t) else t.split(" ") for t in texts]
-        new = list({x[0] for x in split if x}.difference(self.first))
-        self.first.update(zip(new, self._whole(new), strict=True))
-        new = list({y for x in split if x for y in x[1:]}.difference(self.later))
-        self.later.update(zip(new, self._whole([" " + x for x in new]), strict=True))
-        whole = iter(self._whole([t for t, x in zip(texts, split, strict=True) if x is None]))
-        later = self.later.__getitem__
-        return [self.first[x[0]] + b"".join(map(later, x[1:])) if x is not None else next(whole) for x in split]
+        split = [None if self.NEWLINE in t or self.START in t else (self.START + t.replace("\n", " " + self.NEWLINE)).split(" ") for t in texts]
+        new = list(set().union(*(x for x in split if x)).difference(self.known))
+        self._learn(new)
+        out: list[bytes | None] = []
+        for x in split:
+            try:
+                out.append(b"".join(map(self.known.__getitem__, x)) if x else None)
+            except TypeError:
+                out.append(None)
+        for k in new if len(self.known) > CACHE else [k for k in new if k[:1] == self.START]:
+            del self.known[k]
+        whole = iter(self._whole([t for t, x in zip(texts, out, strict=True) if x is None]))
+        return [next(whole) if x is None else x for x in out]
 
 
 _encoders: dict[str, Encoder] = {}
