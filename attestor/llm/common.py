@@ -38,15 +38,16 @@ def per_batch(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], dict | N
     return df.mapInArrow(run, fields)
 
 
-def write_binary_files(df: DataFrame, column: str, path: str) -> None:
-    """Writes each row's bytes as one file below path, through Spark's own committed text writer.
+def write_binary_files(df: DataFrame, column: str, path: str, by: str | None = None) -> None:
+    """Writes each row's bytes as one file below path (in folders by=value), through Spark's own committed text writer.
 
     So it works on every file system that Spark can write, and a lost or speculative task leaves no partial file. The text
     writer ends each record with a line separator, so every value must end in the byte 0x00, which becomes that separator:
     the files hold exactly the given bytes. Formats that can end otherwise append a valid padding (see warc, simple8b).
     """
     body = F.expr(f"cast(substring({column}, 1, length({column}) - 1) as string)")
-    df.select(body.alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\u0000").option("compression", "none").text(path)
+    writer = df.select(body.alias("value"), *([by] if by else [])).write.option("maxRecordsPerFile", 1)
+    (writer.partitionBy(by) if by else writer).option("lineSep", "\u0000").option("compression", "none").text(path)
 
 
 def read_binary_files(spark: SparkSession, path: str) -> DataFrame:

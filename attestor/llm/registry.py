@@ -7,10 +7,14 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Module, query function and name of each query.
+#: Name and module of each query.
 OPERATORS = (
     ("op1_pii", "pii"),
+    ("op3_warc", "warc"),
+    ("op4_quality", "quality"),
+    ("op6_simple8b", "simple8b"),
     ("op7_simhash_dedup", "simhash"),
+    ("op8_mixing", "mixing"),
     ("op9_decontaminate", "decontaminate"),
     ("op10_secrets", "secrets"),
 )
