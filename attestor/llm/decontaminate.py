@@ -177,6 +177,32 @@ def _blocks(benchmark: DataFrame) -> list[_Block]:
     return [*blocks, _Block(sc.broadcast(own), uuid4().hex)]
 
 
+def without_overlap(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
+    """docs without the rows in which a full window of the benchmark occurs, or which are contaminated() by shorter items too.
+
+    Rows are searched where they are read and keep all their columns; with one block of the benchmark there is one pass.
+    """
+    names, fields = docs.columns, docs.schema
+    for block in _blocks(benchmark):
+        def run(batches, block=block):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    matcher = _matcher(block, size)
+                    texts = [fold((t or "").encode()) for t in part.column(names.index("text")).to_pylist()]
+                    keep = []
+                    for words, found in zip(texts, matcher.find(texts), strict=True):
+                        hit = np.zeros(len(words) if found else 0, bool)
+                        for first, p in found:
+                            hit[first : first + matcher.words[p]] = True
+                        full = any(matcher.words[p] == size for _, p in found)
+                        keep.append(not (full or (found and 20 * int(hit.sum()) >= len(words))))
+                    yield part.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(run, fields)
+    return docs
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
     """Of every row of docs (doc_id, text): doc_id, n_words, n_hit, n_full, items.
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Name and module of each query.
 OPERATORS = (
     ("op1_pii", "pii"),
+    ("op2_nearest", "ann"),
     ("op3_warc", "warc"),
     ("op4_quality", "quality"),
     ("op6_simple8b", "simple8b"),
