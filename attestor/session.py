@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "attestor") -> SparkSession:
     """A local session for tests and benchmarks; on a cluster use the one spark-submit gives."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.driver.memory", memory)
@@ -23,6 +23,15 @@ def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "attesto
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
+    importable(spark)
+    return spark
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where they see the driver's files; elsewhere spark-submit --py-files ships it."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
 
 
 def shared_dir(spark: SparkSession) -> str:
