@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestor.session import materialised, shared_dir, shared_path
 
-__all__ = ["SPACE", "materialised", "per_batch", "read_binary_files", "shared_dir", "shared_path", "table", "write_binary_files"]
+__all__ = ["SPACE", "materialised", "per_batch", "read_binary_files", "remove", "shared_dir", "shared_path", "table", "write_binary_files"]
 
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`.
 SPACE = " \t\n\x0b\x0c\r"
@@ -50,6 +50,12 @@ def write_binary_files(df: DataFrame, column: str, path: str, by: str | None = N
     (writer.partitionBy(by) if by else writer).option("lineSep", "\u0000").option("compression", "none").text(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of ours on any file system."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def read_binary_files(spark: SparkSession, path: str) -> DataFrame:
     """path, content of the files that write_binary_files made. File splits hold one whole file each."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")

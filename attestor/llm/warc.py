@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import per_batch, read_binary_files, shared_path, table, write_binary_files
+from attestor.llm.common import materialised, per_batch, read_binary_files, remove, shared_path, table, write_binary_files
 
 #: Payload bytes after which an archive ends; a larger record has an archive of its own.
 ARCHIVE_BYTES = 8 << 20
 LEVEL = 6
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 0
+#: Most revisits, and most bytes of gzipped indexes, that are broadcast; beyond them both are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_INDEX_BYTES = 500_000, 16 << 20
 #: A gzip member of nothing: it ends in 0x00, as files of write_binary_files must, and readers skip it.
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 DATE = "2024-01-01T00:00:00Z"
@@ -141,13 +143,15 @@ def normalised(content: bytes) -> tuple[bytes, bytes]:
 def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, payload, refers_to (the largest page_id with the same payload, or null if it is the page's own).
 
-    Payloads are compared by SHA-1. Ids are grouped without payloads, partially before the shuffle, and payloads move by
-    page, so that many copies of a payload never meet.
+    Payloads are compared by SHA-1. Ids are grouped without payloads, partially before the shuffle. Payloads stay where they
+    are read while the revisits are few enough to go everywhere; else they move by page, so that copies never meet.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     ids = own.where(F.length("payload") >= least).select("page_id", F.sha1("payload").alias("sha1"))
     last = ids.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    revisits = ids.join(last, "sha1").where("page_id < refers_to").distinct()
+    revisits = materialised(ids.join(last, "sha1").where("page_id < refers_to").distinct(), "revisits")
+    if revisits.count() <= BROADCAST_ROWS:
+        revisits = F.broadcast(revisits)
     return own.withColumn("sha1", F.sha1("payload")).join(revisits, ["page_id", "sha1"], "left").select("page_id", "url", "payload", "refers_to")
 
 
@@ -213,6 +217,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     out[k].append(found[k])
         return out
 
+    size = spark.read.format("binaryFile").load(f"{path}/kind=index").agg(F.sum("length")).first()[0]
+    if (size or 0) <= BROADCAST_INDEX_BYTES:
+        indexes = F.broadcast(indexes)
     pairs = archives.join(indexes, "sha1").select("archive", "lines")
     return per_batch(pairs, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long", f, 1)
 
@@ -223,6 +230,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     raw, path = shared_path(spark, "warc"), shared_path(spark, "warc-members")
     write_archives(pages, raw)
     normalise(spark, raw, path)
+    remove(spark, raw)
     if not pages.take(1):
         return spark.createDataFrame([], "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return read_records(spark, path)
