@@ -16,6 +16,7 @@ A word never reaches over a block, so each block decodes alone.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ SHARD_IDS = 1 << 20
 MAGIC = b"S8BSHARD"
 END_ID = 2
 #: Chunks whose ids a worker keeps: those that it met first, so the frequent ones.
-CACHE = 700_000
+CACHE = 250_000
 
 
 def _widths() -> list[int]:
@@ -159,35 +160,81 @@ class Encoder:
     NEWLINE, START = "\0", "\1"
 
     def __init__(self, path: str):
+        import os
+        import re
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes | None] = {}
+        # Letters (of the blocks that all Unicode versions share) and ASCII marks after them, but nothing that the splitter
+        # treats otherwise (digits, a quote and letters), are two pieces; the model encodes pieces without the splitter.
+        self.word = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-^`{-~]*)")
+        self.pieces: dict[str, bytes] = {}
+        # The byte-level form: bytes of printable characters stand for themselves, the others for characters from 256 on.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.bytes = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - printable))}
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = {lead: np.zeros(max(vocabulary.values()) + 1, bool) for lead in (" ", "\n")}
+        for token, i in vocabulary.items():  # the byte-level form of a space and of a newline
+            self.begins[" "][i], self.begins["\n"][i] = token[0] == "\u0120", token[0] == "\u010a"
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+
+    def _marks(self, marks: str) -> bytes:
+        """Ids of marks that follow letters."""
+        found = self.pieces.get(marks)
+        if found is None:
+            found = self.pieces[marks] = self._piece(marks)
+        return found
+
     def _learn(self, keys: list[str]) -> None:
         """Sets known for each key; None where the white space around the chunk doesn't let it stand alone."""
-        starts, later = [], []
+        rest = []
         for k in keys:
-            body = k[1:] if k[:1] in (self.NEWLINE, self.START) and k else k
-            if k[:1] == self.START:
-                self.known[k] = None
-                if not body[-1:].isspace():
-                    starts.append(k)
-            elif not body or body[0].isspace() or body[-1].isspace():
-                self.known[k] = None
-            else:
-                later.append((k, "\n" + body if k[0] == self.NEWLINE else " " + body))
-        self.known.update(zip(starts, self._whole([k[1:] for k in starts]), strict=True))
-        groups = [later[i : i + 512] for i in range(0, len(later), 512)]
-        for group, e in zip(groups, self.tokenizer.encode_batch(["".join(x[1] for x in g) for g in groups], add_special_tokens=False), strict=True):
-            begin = np.cumsum([0, *(len(x[1]) for x in group)])
-            cuts = np.searchsorted(np.array([o[0] for o in e.offsets]), begin).tolist()
-            raw = np.array(e.ids, "<u4").tobytes()
-            self.known.update((x[0], raw[4 * i : 4 * j]) for x, i, j in zip(group, cuts, cuts[1:], strict=False))
+            m = self.word.fullmatch(k)
+            if m is None:
+                rest.append(k)
+                continue
+            letters, marks = m.groups()
+            first = self.pieces.get(letters)
+            if first is None:
+                first = self.pieces[letters] = self._piece("\u0120" + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.bytes)))
+            self.known[k] = first + self._marks(marks) if marks else first
+        keys = rest
+        if len(self.pieces) > CACHE:
+            self.pieces = {}
+        plain = [k for k in keys if k[:1] > self.START]
+        for i in range(0, len(plain), 2048):
+            self._learn_group(plain[i : i + 2048], " ", plain[i : i + 2048])
+        lines = [k for k in keys if k[:1] == self.NEWLINE]
+        for i in range(0, len(lines), 2048):
+            self._learn_group(lines[i : i + 2048], "\n", [k[1:] for k in lines[i : i + 2048]])
+        starts = [k for k in keys if k[:1] == self.START]
+        alone = [k for k in starts if not k[-1:].isspace() or len(k) == 1]
+        self.known.update(dict.fromkeys(starts))
+        self.known.update(zip(alone, self._whole([k[1:] for k in alone]), strict=True))
+        if "" in keys:
+            self.known[""] = None
+
+    def _learn_group(self, keys: list[str], lead: str, bodies: list[str]) -> None:
+        """Encodes lead + body of all keys in one call; where no body holds white space, tokens with lead first begin a key."""
+        text = lead + lead.join(bodies)
+        if len(text.split()) != len(keys):
+            single = [(k, b) for k, b in zip(keys, bodies, strict=True) if b and not b[0].isspace() and not b[-1].isspace()]
+            self.known.update(dict.fromkeys(keys))
+            self.known.update(zip([k for k, _ in single], self._whole([lead + b for _, b in single]), strict=True))
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cuts = [*np.flatnonzero(self.begins[lead][ids]).tolist(), len(ids)]
+        raw = ids.tobytes()
+        self.known.update(zip(keys, [raw[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without the end id."""
