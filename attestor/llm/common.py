@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from attestor.session import materialised, shared_dir, shared_path
 
-__all__ = ["SPACE", "materialised", "per_batch", "read_binary_files", "remove", "shared_dir", "shared_path", "table", "write_binary_files"]
+__all__ = ["SPACE", "arrow_batches", "materialised", "per_batch", "read_binary_files", "remove", "shared_dir", "shared_path", "table", "write_binary_files"]
 
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`.
 SPACE = " \t\n\x0b\x0c\r"
@@ -38,6 +39,18 @@ def per_batch(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], dict | N
     return df.mapInArrow(run, fields)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of so many rows between the JVM and Python for what runs inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_binary_files(df: DataFrame, column: str, path: str, by: str | None = None) -> None:
     """Writes each row's bytes as one file below path (in folders by=value), through Spark's own committed text writer.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import per_batch, read_binary_files, shared_path, table, write_binary_files
+from attestor.llm.common import arrow_batches, per_batch, read_binary_files, shared_path, table, write_binary_files
 
 #: Ids in a word for each selector.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -34,8 +34,10 @@ BLOCK = 1024
 SHARD_IDS = 1 << 20
 MAGIC = b"S8BSHARD"
 END_ID = 2
-#: Chunks whose ids a worker keeps: those that it met first, so the frequent ones.
-CACHE = 250_000
+#: Chunks and pieces whose ids a worker keeps: those that it met first, so the frequent ones.
+CACHE, PIECES = 300_000, 400_000
+#: Rows in a batch between the JVM and a worker while shards are written; texts are long, and both sides hold a batch.
+BATCH_ROWS = 1000
 
 
 def _widths() -> list[int]:
@@ -205,11 +207,11 @@ class Encoder:
             letters, marks = m.groups()
             first = self.pieces.get(letters)
             if first is None:
-                first = self.pieces[letters] = self._piece("\u0120" + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.bytes)))
+                first = self._piece("\u0120" + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.bytes)))
+                if len(self.pieces) < PIECES:
+                    self.pieces[letters] = first
             self.known[k] = first + self._marks(marks) if marks else first
         keys = rest
-        if len(self.pieces) > CACHE:
-            self.pieces = {}
         plain = [k for k in keys if k[:1] > self.START]
         for i in range(0, len(plain), 2048):
             self._learn_group(plain[i : i + 2048], " ", plain[i : i + 2048])
@@ -293,7 +295,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         if names:
             yield out()
 
-    write_binary_files(ordered.mapInArrow(run, "content binary"), "content", path)
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        write_binary_files(ordered.mapInArrow(run, "content binary"), "content", path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
