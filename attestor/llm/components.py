@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges never meet in one task) and then the label of the label, so that a path of n edges takes about log2(n) rounds.
     Labels are written to the shared folder each round, which cuts the lineage and survives a lost executor.
     """
-    both = materialised(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b"), "edges")
+    both = materialised(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
     labels = materialised(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))

@@ -41,7 +41,27 @@ def _binary(words: np.ndarray) -> pa.Array:
 
 
 def _words(column: pa.Array, k: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, k)
+    """Rows of k uint64 words from a binary column without nulls, all values of 8 k bytes."""
+    n = len(column)
+    if not n:
+        return np.zeros((0, k), np.uint64)
+    first = int(np.frombuffer(column.buffers()[1], np.int32, 1, 4 * column.offset)[0])
+    return np.frombuffer(column.buffers()[2], ">u8", n * k, first).astype(np.uint64).reshape(n, k)
+
+
+def _distinct(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the number of each row's; rows are sorted by a mix of their words, and by the words if mixes clash."""
+    if words.shape[1] == 1:
+        found, at = np.unique(words[:, 0], return_inverse=True)
+        return found[:, None], at.ravel()
+    mixed = words[:, 0].copy()
+    for i in range(1, words.shape[1]):
+        mixed = _mix(mixed + np.uint64(i)) ^ words[:, i]
+    _, first, at = np.unique(mixed, return_index=True, return_inverse=True)
+    found, at = words[first], at.ravel()
+    if (found[at] != words).any():
+        found, at = np.unique(words, axis=0, return_inverse=True)
+    return found, at.ravel()
 
 
 def majority_bits(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -229,18 +249,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _bucket_rows(words: np.ndarray, group: list[int], part: int, radius: int, rows_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket ids and row numbers. rows_at: expected rows by the value's first 16 bits, for buckets that must be split."""
+def _bucket_rows(words: np.ndarray, group: list[int], part: int, radius: int, rows_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket ids, row numbers, and codes: twice the partition, plus one in the bucket of the row's own value. rows_at: expected rows by the value's first 16 bits, for buckets that must be split."""
     v = _values(words, group)
     ball = _ball(len(group), radius)
     keys = (v[:, None] ^ ball[None, :]).ravel()
     row = np.repeat(np.arange(len(words)), len(ball))
+    code = np.tile(np.where(np.arange(len(ball)) == 0, 2 * part + 1, 2 * part).astype(np.int8), len(words))
     tag = _mix(keys + (np.uint64(part + 1) << np.uint64(56)))
     blocks = -(-rows_at[(keys >> np.uint64(len(group) - min(len(group), 16))).astype(np.int64)] // BUCKET)
     hot = blocks > 1
     if not hot.any():
-        return tag, row
-    tags, at = [tag[~hot]], [row[~hot]]
+        return tag, row, code
+    tags, at, codes = [tag[~hot]], [row[~hot]], [code[~hot]]
     own = _mix(words[:, 0] ^ np.uint64(0x9E3779B97F4A7C15))
     for b in np.unique(blocks[hot]):
         here = np.flatnonzero(hot & (blocks == b))
@@ -249,7 +270,8 @@ def _bucket_rows(words: np.ndarray, group: list[int], part: int, radius: int, ro
             pair = np.minimum(mine, other) * b + np.maximum(mine, other)
             tags.append(_mix(tag[here] ^ _mix(pair.astype(np.uint64) + np.uint64(1))))
             at.append(row[here])
-    return np.concatenate(tags), np.concatenate(at)
+            codes.append(code[here])
+    return np.concatenate(tags), np.concatenate(at), np.concatenate(codes)
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -275,16 +297,28 @@ class Forest:
                 label[:] = up
 
 
-def link_buckets(bucket: np.ndarray, words: np.ndarray, tau: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links within tau bits inside each bucket; rows are sorted by bucket. Row numbers."""
+def link_buckets(bucket: np.ndarray, words: np.ndarray, value: np.ndarray, own: np.ndarray, tau: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
+    """Links within tau bits inside each bucket that are needed to connect all; rows are sorted by bucket. Row numbers.
+
+    Two rows with one value of the partition's bits meet in the bucket of that value, as own rows, and in others. A forest of
+    such links is given there only; elsewhere they are known, and only links that join what they leave apart are given.
+    """
     n = len(bucket)
-    distinct, same = np.unique(words, axis=0, return_inverse=True) if words.shape[1] > 1 else np.unique(words[:, 0], return_inverse=True)
-    same = same.ravel()
-    forest = Forest(len(distinct))
+    distinct, same = _distinct(words)
+    known = Forest(len(distinct))
+    own_forest = Forest(len(distinct))
+    cross: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def told(i: np.ndarray, j: np.ndarray) -> None:
+        equal = value[i] == value[j]
+        known.add(same[i[equal]], same[j[equal]])
+        home = equal & own[i] & own[j]
+        own_forest.add(same[i[home]], same[j[home]])
+        cross.append((same[i[~equal]], same[j[~equal]]))
+
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     sizes = np.diff(np.r_[starts, n])
-    size = np.repeat(sizes, sizes)
-    little = size <= small
+    little = np.repeat(sizes, sizes) <= small
     for d in range(1, min(small, int(sizes[sizes <= small].max(initial=0)))):
         i = np.flatnonzero(little[:-d] & (bucket[:-d] == bucket[d:]))
         if not len(i):
@@ -292,30 +326,36 @@ def link_buckets(bucket: np.ndarray, words: np.ndarray, tau: int, small: int = 4
         for at in range(0, len(i), 1 << 20):
             j = i[at : at + (1 << 20)]
             near = j[_distance(words[j], words[j + d]) <= tau]
-            forest.add(same[near], same[near + d])
+            told(near, near + d)
     for s, c in zip(starts[sizes > small], sizes[sizes > small], strict=True):
-        _link_large(np.unique(same[s : s + c]), distinct if distinct.ndim > 1 else distinct[:, None], tau, forest)
-    child = np.flatnonzero(forest.label != np.arange(len(distinct)))
-    first = np.zeros(len(distinct), np.int64)
-    first[same[::-1]] = np.arange(n)[::-1]
-    return first[child], first[forest.label[child]]
-
-
-def _link_large(left: np.ndarray, words: np.ndarray, tau: int, forest: Forest) -> None:
-    """All links of a large bucket: what is within tau of a pivot is one component and needs no comparison among itself; only
-    rows within 2 tau of the pivot can be near those."""
+        _, first = np.unique(same[s : s + c], return_index=True)
+        _link_large(s + first, words, tau, told)
+    joined = Forest(len(distinct))
+    a, b = (known.label[np.concatenate(x)] for x in zip(*cross, strict=True)) if cross else (np.zeros(0, np.int64),) * 2
+    joined.add(a, b)
+    place = np.zeros(len(distinct), np.int64)
+    place[same[::-1]] = np.arange(n)[::-1]
+    out = [(c, f.label[c]) for f in (own_forest, joined) for c in [np.flatnonzero(f.label != np.arange(len(distinct)))]]
+    child, root = (np.concatenate(x) for x in zip(*out, strict=True))
+    return place[child], place[root]
+
+
+def _link_large(left: np.ndarray, words: np.ndarray, tau: int, told) -> None:
+    """Links that connect the rows of a large bucket: what is within tau of a pivot is one component and needs no comparison
+    among itself; only rows within 2 tau of the pivot can be near those."""
     while len(left) > 1:
         d = _distance(words[left], words[left[0]])
         near, rest = left[d <= tau], left[d > tau]
-        forest.add(near, np.full(len(near), left[0]))
-        maybe = left[(d > tau) & (d <= 2 * tau)]
         others = near[near != left[0]]
+        told(others, np.full(len(others), left[0]))
+        maybe = left[(d > tau) & (d <= 2 * tau)]
         if len(others) and len(maybe):
             step = max(1, (1 << 21) // len(others))
             for at in range(0, len(maybe), step):
                 x = maybe[at : at + step]
-                hit = (_distance(words[x][:, None, :], words[others][None, :, :]) <= tau).any(axis=1)
-                forest.add(x[hit], np.full(int(hit.sum()), left[0]))
+                hit = _distance(words[x][:, None, :], words[others][None, :, :]) <= tau
+                row = np.flatnonzero(hit.any(axis=1))
+                told(x[row], others[hit[row].argmax(axis=1)])
         left = rest
 
 
@@ -332,31 +372,35 @@ def links(fps: DataFrame, tau: int, bits: int = 64) -> DataFrame:
     def expand(batch: pa.RecordBatch) -> dict:
         words = _words(batch.column(0), k)
         made = [_bucket_rows(words, g, i, r, e) for i, (g, r, e) in enumerate(zip(groups, radii, expected, strict=True)) if r >= 0]
-        return {"bucket": np.concatenate([x[0] for x in made]).view(np.int64), "fp": _binary(words[np.concatenate([x[1] for x in made])])}
+        return {"bucket": np.concatenate([x[0] for x in made]).view(np.int64), "code": np.concatenate([x[2] for x in made]), "fp": _binary(words[np.concatenate([x[1] for x in made])])}
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         rows = 0
 
-        def out(bucket: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = link_buckets(bucket, words, tau)
+        def out(bucket: np.ndarray, code: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+            value = np.zeros(len(bucket), np.uint64)
+            for part in np.unique(code >> 1):
+                here = np.flatnonzero(code >> 1 == part)
+                value[here] = _values(words[here], groups[part])
+            a, b = link_buckets(bucket, words, value, (code & 1).astype(bool), tau)
             if len(a):
                 yield pa.RecordBatch.from_arrays([_binary(words[a]), _binary(words[b])], names=["a", "b"])
 
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), _words(batch.column(1), k)))
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), _words(batch.column(2), k)))
             rows += batch.num_rows
             if rows < 200_000:
                 continue
-            bucket, words = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.searchsorted(bucket, bucket[-1], "left"))
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1], "left"))
             if cut:
-                yield from out(bucket[:cut], words[:cut])
-            held, rows = [(bucket[cut:], words[cut:])], len(bucket) - cut
+                yield from out(*(x[:cut] for x in whole))
+            held, rows = [tuple(x[cut:] for x in whole)], len(whole[0]) - cut
         if rows:
             yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    rows = per_batch(fps.select("fp"), "bucket long, fp binary", expand, 4096)
+    rows = per_batch(fps.select("fp"), "bucket long, code byte, fp binary", expand, 4096)
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "a binary, b binary")
 
 
