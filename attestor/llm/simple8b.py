@@ -35,7 +35,7 @@ SHARD_IDS = 1 << 20
 MAGIC = b"S8BSHARD"
 END_ID = 2
 #: Chunks and pieces whose ids a worker keeps: those that it met first, so the frequent ones.
-CACHE, PIECES = 300_000, 400_000
+CACHE, PIECES = 700_000, 600_000
 #: Rows in a batch between the JVM and a worker while shards are written; texts are long, and both sides hold a batch.
 BATCH_ROWS = 1000
 
