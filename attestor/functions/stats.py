@@ -10,7 +10,8 @@ Z = 1.96
 
 def wilson(k: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     """Bounds of the Wilson score interval; (0, 1) without trials."""
-    p, n = k / F.nullif(n, F.lit(0)), n.cast("double")
+    n = F.nullif(n.cast("double"), F.lit(0.0))
+    p = k / n
     centre, half = p + z * z / (2 * n), z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)
     scale = 1 + z * z / n
     return F.coalesce(F.greatest(F.lit(0.0), (centre - half) / scale), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), (centre + half) / scale), F.lit(1.0))
