@@ -13,6 +13,7 @@ OPERATORS = (
     ("op2_nearest", "ann"),
     ("op3_warc", "warc"),
     ("op4_quality", "quality"),
+    ("op5_licences", "licences"),
     ("op6_simple8b", "simple8b"),
     ("op7_simhash_dedup", "simhash"),
     ("op8_mixing", "mixing"),
