@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm.common import materialised, per_batch, table
 from attestor.llm.components import components
+from attestor.llm.jaccard import near_copies
 
 #: Most rows of one bucket that a task holds and compares.
 BUCKET = 20_000
@@ -420,15 +421,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, tau: int = 4, seeds: tuple[
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, tau: int = 20, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """docs without near-duplicates: of each component the rows of its smallest doc_id stay, exact repeats of a row once.
 
-    Two seeds give 128 bits. At most 20 differing bits of 128 mean an estimated cosine of 0.88 between the shingle counts,
-    which is a Jaccard similarity of 0.8; unrelated texts differ by 64 bits on average. Rows without a doc_id stay only where
-    their component has no other rows.
+    Two texts are linked if the Jaccard similarity of their shingle sets, verified on the sets, is at least part / whole (see
+    jaccard). Rows without a doc_id stay only where their component has no other rows.
     """
-    found = near_duplicates(docs, words, tau, seeds)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    found = near_copies(docs, words, similarity)
+    smallest = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    kept = found.join(smallest, "label").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     once = docs.dropDuplicates(["doc_id"])
     return once.join(kept, once["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
