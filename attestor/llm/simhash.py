@@ -329,8 +329,19 @@ def link_buckets(bucket: np.ndarray, words: np.ndarray, value: np.ndarray, own:
             near = j[_distance(words[j], words[j + d]) <= tau]
             told(near, near + d)
     for s, c in zip(starts[sizes > small], sizes[sizes > small], strict=True):
-        _, first = np.unique(same[s : s + c], return_index=True)
-        _link_large(s + first, words, tau, told)
+        here, first = np.unique(same[s : s + c], return_index=True)
+        bound = Forest(len(here))
+
+        def told_here(i: np.ndarray, j: np.ndarray, here=here, bound=bound) -> None:
+            told(i, j)
+            bound.add(np.searchsorted(here, same[i]), np.searchsorted(here, same[j]))
+
+        _link_large(s + first, words, tau, told_here)
+        # Own rows that a pivot of another value connects are given as links too: elsewhere they are known.
+        home = np.flatnonzero(own[s + first])
+        _, root, at = np.unique(bound.label[home], return_index=True, return_inverse=True)
+        known.add(here[home], here[home[root[at]]])
+        own_forest.add(here[home], here[home[root[at]]])
     joined = Forest(len(distinct))
     a, b = (known.label[np.concatenate(x)] for x in zip(*cross, strict=True)) if cross else (np.zeros(0, np.int64),) * 2
     joined.add(a, b)
