@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from attestor.llm.common import per_batch, table
 
@@ -180,26 +181,35 @@ def _blocks(benchmark: DataFrame) -> list[_Block]:
 def without_overlap(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
     """docs without the rows in which a full window of the benchmark occurs, or which are contaminated() by shorter items too.
 
-    Rows are searched where they are read and keep all their columns; with one block of the benchmark there is one pass.
+    Rows are searched where they are read and keep all their columns; with one block of the benchmark there is one pass. From
+    block to block goes which words are hit, or that a row is out; rows are dropped after the last block.
     """
-    names, fields = docs.columns, docs.schema
-    for block in _blocks(benchmark):
-        def run(batches, block=block):
+    names, fields, blocks = docs.columns, docs.schema, _blocks(benchmark)
+    state = StructType([*fields, StructField("__hit", BinaryType()), StructField("__out", BooleanType())])
+    for i, block in enumerate(blocks):
+        def run(batches, block=block, first=not i, last=i == len(blocks) - 1):
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
                     matcher = _matcher(block, size)
                     texts = [fold((t or "").encode()) for t in part.column(names.index("text")).to_pylist()]
-                    keep = []
-                    for words, found in zip(texts, matcher.find(texts), strict=True):
-                        hit = np.zeros(len(words) if found else 0, bool)
-                        for first, p in found:
-                            hit[first : first + matcher.words[p]] = True
+                    before = [[None] * len(texts)] * 2 if first else [part.column(len(names) + k).to_pylist() for k in (0, 1)]
+                    hits, outs = [], []
+                    for words, found, hit, out in zip(texts, matcher.find(texts), *before, strict=True):
+                        h = np.zeros(len(words) if found else 0, np.uint8) if hit is None else np.frombuffer(hit, np.uint8).copy()
+                        for begin, p in found:
+                            h[begin : begin + matcher.words[p]] = 1
                         full = any(matcher.words[p] == size for _, p in found)
-                        keep.append(not (full or (found and 20 * int(hit.sum()) >= len(words))))
-                    yield part.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(run, fields)
+                        n = int(h.sum())
+                        outs.append(bool(out or full or (n and 20 * n >= len(words))))
+                        hits.append(h.tobytes() if n and not outs[-1] else None)
+                    own = pa.RecordBatch.from_arrays(part.columns[: len(names)], schema=pa.schema(list(part.schema)[: len(names)]))
+                    if last:
+                        yield own.filter(pa.array([not x for x in outs], pa.bool_()))
+                    else:
+                        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(hits, pa.binary()), pa.array(outs, pa.bool_())], schema=pa.schema([*own.schema, ("__hit", pa.binary()), ("__out", pa.bool_())]))
+
+        docs = docs.mapInArrow(run, fields if i == len(blocks) - 1 else state)
     return docs
 
 

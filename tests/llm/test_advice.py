@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from attestor.llm import simhash
+from attestor.llm import decontaminate, simhash
 
 
 def test_large_home_bucket_gives_what_others_take_as_known():
@@ -17,3 +17,15 @@ def test_large_home_bucket_gives_what_others_take_as_known():
         for x, y in zip(words[a, 0].tolist(), words[b, 0].tolist(), strict=True):
             joined[x] = joined[y] = min(joined[x], joined[y])
     assert set(joined.values()) == {4}
+
+
+def test_short_items_of_two_blocks_count_together(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, f"item{i} word{i}") for i in range(4)], "item_id long, text string")
+    fill = " ".join(f"f{i}" for i in range(70))
+    docs = spark.createDataFrame([(1, f"item0 word0 {fill} item3 word3"), (2, f"item0 word0 {fill} {fill}"), (3, None), (4, f"item2 word2 item2 word2 {fill}")], "doc_id long, text string")
+    one = sorted(r.doc_id for r in decontaminate.without_overlap(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10)
+    assert len(decontaminate._blocks(bench)) > 3
+    assert sorted(r.doc_id for r in decontaminate.without_overlap(docs, bench).collect()) == one == [2, 3]
+    flagged = decontaminate.overlaps(docs, bench).where(decontaminate.contaminated())
+    assert sorted(r.doc_id for r in flagged.collect()) == [1, 4]
