@@ -63,12 +63,17 @@ def mix(docs: DataFrame) -> DataFrame:
     repeated rows stay and are sampled on their own; rows without a doc_id are hashed by their text alone. An empty table
     gives an empty result. The same rows give the same result whatever their order or partitions.
     """
+    return _mix(docs)
+
+
+def _mix(docs: DataFrame, carried: tuple[Column, ...] = ()) -> DataFrame:
+    """mix() with further columns of each row."""
     hashed = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text"))
     u = (F.shiftrightunsigned(hashed, 11).cast("double") + 0.5) / float(1 << 53)
     source_key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), source_key.alias("source_key"), words(F.col("text")).alias("size"),
-        (-F.log(u) / quality(F.col("text"))).alias("key"), hashed.alias("hash"),
+        (-F.log(u) / quality(F.col("text"))).alias("key"), hashed.alias("hash"), *carried,
     )
     rows = materialised(rows, "mix")
     sources = rows.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -87,13 +92,13 @@ def mix(docs: DataFrame) -> DataFrame:
     placed = placed.withColumn("left", left)
     more = ((F.col("left") > 0) & (F.col("left") >= F.col("size") / 2)).cast("long")
     part = F.least(F.greatest(F.floor("left"), F.lit(0)), F.col("size"))
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), (F.col("epochs") + more).alias("copies"))
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), (F.col("epochs") + more).alias("copies"), *rows.columns[6:-1])
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; doc_id must be unique and not null in docs."""
-    taken = mix(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(taken, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    """The rows of docs, each as often as the mix takes it; rows without a doc_id and with a repeated one are rows of their own."""
+    taken = _mix(docs, (F.struct(*docs.columns).alias("row"),)).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm.common import materialised, per_batch, table
 from attestor.llm.components import components
-from attestor.llm.jaccard import near_copies
+from attestor.llm.jaccard import near_copies, text_key
 
 #: Most rows of one bucket that a task holds and compares.
 BUCKET = 20_000
@@ -433,16 +433,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, tau: int = 4, seeds: tuple[
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
-    """docs without near-duplicates: of each component the rows of its smallest doc_id stay, exact repeats of a row once.
+    """docs without near-duplicates: one row of each component stays, that of the smallest doc_id, then of the smallest text digest.
 
     Two texts are linked if the Jaccard similarity of their shingle sets, verified on the sets, is at least part / whole (see
-    jaccard). Rows without a doc_id stay only where their component has no other rows.
+    jaccard). A row is known by its doc_id and its text: rows without a doc_id and different texts under one doc_id are rows
+    like others; a row without a doc_id stays only where its component has no other. Exact repeats of a row stay once.
     """
     found = near_copies(docs, words, similarity)
-    smallest = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    kept = found.join(smallest, "label").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    once = docs.dropDuplicates(["doc_id"])
-    return once.join(kept, once["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    kept = found.groupBy("label").agg(F.min(row).alias("row")).select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key"))
+    own = docs.withColumn("__text", text_key(F.col("text")))
+    chosen = own.join(kept, (own["__text"] == kept["__key"]) & own["doc_id"].cast("long").eqNullSafe(kept["__id"]), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

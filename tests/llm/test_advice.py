@@ -1,8 +1,10 @@
 """Cases that a review found."""
 
+from collections import Counter
+
 import numpy as np
 
-from attestor.llm import decontaminate, simhash
+from attestor.llm import decontaminate, mixing, simhash
 
 
 def test_large_home_bucket_gives_what_others_take_as_known():
@@ -29,3 +31,19 @@ def test_short_items_of_two_blocks_count_together(spark, monkeypatch):
     assert sorted(r.doc_id for r in decontaminate.without_overlap(docs, bench).collect()) == one == [2, 3]
     flagged = decontaminate.overlaps(docs, bench).where(decontaminate.contaminated())
     assert sorted(r.doc_id for r in flagged.collect()) == [1, 4]
+
+
+def test_rows_without_or_with_repeated_ids_are_kept(spark):
+    text = [" ".join(f"t{i}w{j}" for j in range(30)) for i in range(6)]
+    rows = [(None, text[0], "en"), (None, text[1], "en"), (7, text[2], "en"), (7, text[3], "de"), (7, text[3], "de"), (8, text[3], "en"), (None, text[2], "en"), (None, None, "en"), (None, text[4], "en"), (None, text[4], "en")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(None, text[0], "en"), (None, text[1], "en"), (7, text[2], "en"), (7, text[3], "de"), (None, None, "en"), (None, text[4], "en")])
+
+
+def test_mix_takes_each_row_by_itself(spark):
+    rows = [(None if i % 3 == 0 else i // 4, f"{'w ' * (1 + i % 9)}{i}", "ab"[i % 2], i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    copies = sum(r.copies for r in mixing.mix(docs).collect())
+    got = mixing.mixed_rows(docs).collect()
+    assert len(got) == copies and max(Counter(r.n for r in got).values()) <= 3
+    assert {tuple(r) for r in got} <= set(rows) and any(r.doc_id is None for r in got)
