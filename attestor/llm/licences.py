@@ -92,6 +92,47 @@ def _sql() -> str:
 SQL = _sql()
 
 
+#: A line that names a holder: with a year or a sign, or a capitalised holder to the end of the line; comment marks may precede.
+HOLDER = r"(?m)^[ \t*#/;-]*(?:(?i:copyright|\(c\)|©)[^\n]*?(?:[0-9]{4}|(?i:\(c\))|©)[^\n]*|(?:\([cC]\)|©)[^\n]*|Copyright(?: [A-Z][\w.,&'-]*)+|(?i:all rights reserved)\.?)[ \t]*\r?$"
+#: Comment marks at the beginning of a line.
+MARGIN = r"(?m)^[ \t]*(?:[*#/;]+|--)[ \t]?"
+_CONDITIONS = """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."""
+#: Texts, notices and the first lines of long texts, wherever they stand in a document.
+NOTICES = {
+    "MIT": (MIT, "released under the MIT License", "licensed under the MIT License", "under the terms of the MIT License", "distributed under the MIT License"),
+    "ISC": (ISC, "licensed under the ISC License", "released under the ISC License"), "Zlib": (ZLIB, "licensed under the zlib License", "released under the zlib License"),
+    "Apache-2.0": (APACHE_NOTICE, "licensed under the Apache License, Version 2.0", "released under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004"),
+    "BSD": (_CONDITIONS, "licensed under the BSD License", "released under the BSD License"),
+    "GPL-2.0": ("licensed under the GNU General Public License, version 2", "GNU General Public License as published by the Free Software Foundation; either version 2", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    "GPL-3.0": ("licensed under the GNU General Public License, version 3", "GNU General Public License as published by the Free Software Foundation, either version 3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "LGPL-2.1": ("GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "licensed under the GNU Lesser General Public License, version 2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License as published by the Free Software Foundation, either version 3", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "licensed under the GNU Lesser General Public License, version 3"),
+    "AGPL-3.0": ("GNU Affero General Public License as published by the Free Software Foundation, either version 3", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "licensed under the GNU Affero General Public License, version 3"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0", "licensed under the Mozilla Public License, version 2.0"),
+} | {f"CC-{x}-{v}": (f"licensed under CC {x} {v}", f"licensed under a Creative Commons {name} {v}") for x, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")) for v in ("2.0", "2.5", "3.0", "4.0")}
+SPDX = r"(?i)SPDX-Licen[cs]e-Identifier:[ \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)"
+
+
+def notices(docs: DataFrame) -> DataFrame:
+    """doc_id, licences (sorted names, each once) for every row of docs (doc_id, text): licences whose text or notice stands anywhere in it.
+
+    Text and notices are compared in the canonical form, as runs of whole words, however they are wrapped, but only lines
+    that name a holder are left out. Identifiers after SPDX-License-Identifier count as SPDX-<identifier>.
+    """
+    texts = [(name, t) for name, own in NOTICES.items() for t in own]
+    forms = docs.sparkSession.createDataFrame(texts, "name string, text string").select("name", canonical(F.col("text"))).collect()
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), HOLDER, ""), MARGIN, "")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SPDX)).alias("ids"), F.concat(F.lit(" "), canonical(plain), F.lit(" ")).alias("form"))
+    hits = [F.when(F.contains("form", F.lit(f" {form} ")), F.lit(name)) for name, form in forms]
+    found = F.concat(F.array_compact(F.array(*hits)), F.transform("ids", lambda x: F.concat(F.lit("SPDX-"), x)))
+    return rows.select("doc_id", F.array_sort(F.array_distinct(found)).alias("licences"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence that each document is, if any."""
     return scan(table(spark, sf_dir, "documents"))
+
+
+def notices_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that each document holds."""
+    return notices(table(spark, sf_dir, "documents"))

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from attestor.llm import decontaminate, mixing, simhash
+from attestor.llm import decontaminate, licences, mixing, simhash
 
 
 def test_large_home_bucket_gives_what_others_take_as_known():
@@ -47,3 +47,13 @@ def test_mix_takes_each_row_by_itself(spark):
     got = mixing.mixed_rows(docs).collect()
     assert len(got) == copies and max(Counter(r.n for r in got).values()) <= 3
     assert {tuple(r) for r in got} <= set(rows) and any(r.doc_id is None for r in got)
+
+
+def test_licences_inside_texts(spark):
+    words = licences.MIT.split()
+    wrapped = "# Copyright 2020 Some One\n" + "\n".join("# " + " ".join(words[i : i + 6]) for i in range(0, len(words), 6))
+    texts = ["Prose.\nReleased under the MIT License.\nMore.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.",
+             "code\n" + wrapped + "\ncode", "// SPDX-License-Identifier: BSD-3-Clause\nx", "nothing", None, "license to thrill"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences.notices(df).collect()}
+    assert [got[i] for i in range(9)] == [["MIT"], ["Apache-2.0"], ["GPL-3.0"], ["CC-BY-NC-4.0"], ["MIT"], ["SPDX-BSD-3-Clause"], [], [], []]
