@@ -62,14 +62,19 @@ def parsed_statement(text: Column, relation: str | None = None) -> Column:
 
 
 def near_misses(triples: DataFrame) -> DataFrame:
-    """s, r, o, wrong_o: the object of the next subject of the relation, where it differs.
+    """s, r, o, wrong_o for every subject of a relation: its first object, and the relation's commonest that isn't one of its own.
 
-    The next subject comes from a window inside one bucket of subjects, so that a frequent relation is spread over tasks.
+    If no subject has more than n objects, one of the n + 1 commonest isn't its own; so only those are joined, and no relation's
+    subjects meet in one task. A subject without a row has all objects of its relation.
     """
-    first = triples.groupBy("r", "s").agg(F.min("o").alias("o"))
-    order = Window.partitionBy("r", "bucket").orderBy("s")
-    rows = first.withColumn("bucket", F.pmod(F.crc32(F.col("s").cast("binary")), F.lit(64))).withColumn("wrong_o", F.lead("o").over(order))
-    return rows.where("wrong_o is not null and wrong_o <> o").select("s", "r", "o", "wrong_o")
+    pairs = triples.where("s is not null and r is not null and o is not null").select("s", "r", "o").distinct()
+    own = pairs.groupBy("r", "s").agg(F.sort_array(F.collect_list("o")).alias("own"))
+    most = own.agg(F.max(F.size("own"))).first()[0] or 0
+    order = Window.partitionBy("r").orderBy(F.col("n").desc(), "o")
+    common = pairs.groupBy("r", "o").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most + 1)
+    common = common.groupBy("r").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "o"))), lambda x: x["o"]).alias("common"))
+    rows = own.join(common, "r").withColumn("wrong_o", F.get(F.array_except("common", "own"), F.lit(0)))
+    return rows.where("wrong_o is not null").select("s", "r", F.get("own", F.lit(0)).alias("o"), "wrong_o")
 
 
 def held_out(triples: DataFrame, size: int, seed: int = 0) -> DataFrame:

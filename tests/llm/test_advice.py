@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from attestor.llm import decontaminate, licences, mixing, simhash
+from attestor.operators import datagen
 
 
 def test_large_home_bucket_gives_what_others_take_as_known():
@@ -57,3 +58,10 @@ def test_licences_inside_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.licences for r in licences.notices(df).collect()}
     assert [got[i] for i in range(9)] == [["MIT"], ["Apache-2.0"], ["GPL-3.0"], ["CC-BY-NC-4.0"], ["MIT"], ["SPDX-BSD-3-Clause"], [], [], []]
+
+
+def test_every_subject_with_a_sibling_gets_a_near_miss(spark):
+    rows = [(f"n{i}", "in", f"r{i % 5}") for i in range(25)] + [("both", "in", "r0"), ("both", "in", "r1"), ("n0", "alone", "x")] + [(f"p{i}", "has", "common" if i else "rare") for i in range(100)]
+    got = {(r.s, r.r): (r.o, r.wrong_o) for r in datagen.near_misses(spark.createDataFrame(rows, "s string, r string, o string")).collect()}
+    assert len(got) == 25 + 1 + 100 and got["both", "in"] == ("r0", "r2") and got["p0", "has"] == ("rare", "common")
+    assert all((s, r, wrong) not in rows for (s, r), (_, wrong) in got.items())
