@@ -22,6 +22,13 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "ES": 24, "FI": 18,
+    "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VG": 24, "XK": 20,
+}
 SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 CALL = re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z-])")
 
@@ -64,6 +71,29 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """At each start the stretch of the country's length if its checksum holds, or else the longest of 15 characters or more
+    to the end of a word for which it holds."""
+    found, at = [], 0
+    while m := IBAN.search(text, at):
+        s, e = m.span()
+        own = re.match(r"(?:\x20?[A-Z0-9]){%d}(?![A-Za-z0-9])" % IBAN_LENGTHS.get(m[0][:2], 99), m[0])
+        if own and mod97(own[0].replace(" ", "")):
+            at = s + own.end()
+            found.append((s, at))
+            continue
+        while not mod97(text[s:e].replace(" ", "")):
+            e = text.rfind(" ", s, e)
+            if e < 0 or len(text[s:e].replace(" ", "")) < 15:
+                break
+        else:
+            found.append((s, e))
+            at = e
+            continue
+        at = s + 1
+    return found
+
+
 def _context(text: str, start: int, end: int, words: tuple[str, ...]) -> bool:
     near = text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW]
     own = {w.lower() for w in WORD.findall(near)}
@@ -87,9 +117,8 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     if digits:
         taken = [(s, e) for _, s, e in found]
         for kind, pattern in (("iban", IBAN), ("ssn", SSN), ("call", CALL)):
-            for m in pattern.finditer(text):
-                s, e = m.span()
-                if any(s < y and x < e for x, y in taken) or kind == "iban" and not mod97(m[0].replace(" ", "")):
+            for s, e in _ibans(text) if kind == "iban" else (m.span() for m in pattern.finditer(text)):
+                if any(s < y and x < e for x, y in taken):
                     continue
                 score = min(1.0, PRIOR[kind] + BOOST * _context(text, s, e, CONTEXT[kind]))
                 if score >= ACCEPT:

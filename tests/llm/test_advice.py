@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from attestor.llm import decontaminate, licences, mixing, simhash
+from attestor.llm import decontaminate, licences, mixing, pii, simhash
 from attestor.operators import datagen
 
 
@@ -65,3 +65,11 @@ def test_every_subject_with_a_sibling_gets_a_near_miss(spark):
     got = {(r.s, r.r): (r.o, r.wrong_o) for r in datagen.near_misses(spark.createDataFrame(rows, "s string, r string, o string")).collect()}
     assert len(got) == 25 + 1 + 100 and got["both", "in"] == ("r0", "r2") and got["p0", "has"] == ("rare", "common")
     assert all((s, r, wrong) not in rows for (s, r), (_, wrong) in got.items())
+
+
+def test_iban_before_upper_case_words():
+    iban = "DE89 3704 0044 0532 0130 00"
+    for after in ("", " BIC COBADEFF", " EUR", " 12", " EUR 12 GB82 WEST 1234 5698 7654 32"):
+        assert [x[:3] for x in pii.spans("IBAN " + iban + after) if x[0] == "iban"][:1] == [("iban", 5, 5 + len(iban))]
+    two = [x for x in pii.spans(f"{iban} GB82 WEST 1234 5698 7654 32") if x[0] == "iban"]
+    assert len(two) == 2
