@@ -113,19 +113,29 @@ select d.p_partkey as d, c.p_partkey as c, case
 from v d join v c on c.p_partkey = d.p_partkey * 7 % (select count(*) from part) where d.p_partkey % 5 <> 3 and c.p_partkey % 5 <> 3"""
 
 
-@query(GRID_SQL)
-def compare_grid(spark, sf_dir):
-    """Every part's value against that of another part: quantities, money, ranges and names."""
+def _grid(spark, sf_dir, kept) -> DataFrame:
     part = t(spark, sf_dir, "part")
-    size = F.col("p_size").cast("string")
-    value = F.when(F.col("p_partkey") % 5 == 0, F.concat(size, F.lit(" kg"))).when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("$"), size)).when(F.col("p_partkey") % 5 == 2, F.concat(size, F.lit("-"), (F.col("p_size") + 10).cast("string"), F.lit(" kg"))).otherwise(F.col("p_brand"))
-    rows = part.where("p_partkey % 5 <> 3").select("p_partkey", value.alias("v"))
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    value = F.when(k == 0, F.concat(size, F.lit(" kg"))).when(k == 1, F.concat(F.lit("$"), size)).when(k == 2, F.concat(size, F.lit("-"), (F.col("p_size") + 10).cast("string"), F.lit(" kg"))).when(k == 3, F.concat(size, F.lit("+ kg"))).otherwise(F.col("p_brand"))
+    rows = part.where(kept).select("p_partkey", value.alias("v"))
     n = part.agg(F.count(F.lit(1)).alias("n"))
     other = rows.join(F.broadcast(n)).select(F.col("p_partkey").alias("d"), F.col("v").alias("declared"), (F.col("p_partkey") * 7 % F.col("n")).alias("c"))
     both = other.join(rows.select(F.col("p_partkey").alias("c"), F.col("v").alias("claimed")), "c").withColumn("numeric", F.lit(False))
     return compare.compare(both).select("d", "c", "outcome")
 
 
+@query(GRID_SQL)
+def compare_grid(spark, sf_dir):
+    """Every part's value against that of another part: quantities, money, ranges and names."""
+    return _grid(spark, sf_dir, "p_partkey % 5 <> 3")
+
+
+@query()
+def compare_grid_whole(spark, sf_dir):
+    """compare_grid over all parts, with the open-ended ranges."""
+    return _grid(spark, sf_dir, "true")
+
+
 # The value grammar
 
 
@@ -375,8 +385,18 @@ c as (select s_name as s, 'locatedin' as r, 'NATION_' || (s_suppkey % 25) as o f
 select c.s, c.r, c.o, case when n is null then 'OUT_OF_KB' when n > 1 then 'UNRESOLVED' when answer = c.o then 'VERIFIED' when c.r = 'locatedin' then 'CONTRADICTED' else 'UNRESOLVED' end as status, case when n = 1 then answer end as answer
 from c left join k using (s, r)""")
 def verify_triples(spark, sf_dir):
+    return _verified(spark, sf_dir, "p_partkey < 50")
+
+
+@query()
+def verify_triples_whole(spark, sf_dir):
+    """verify_triples with claims for all parts."""
+    return _verified(spark, sf_dir, "true")
+
+
+def _verified(spark, sf_dir, parts) -> DataFrame:
     claims = t(spark, sf_dir, "supplier").select(F.col("s_name").alias("s"), F.lit("locatedin").alias("r"), F.concat(F.lit("NATION_"), (F.col("s_suppkey") % 25).cast("string")).alias("o"))
-    claims = claims.union(t(spark, sf_dir, "part").where("p_partkey < 50").select("p_name", F.lit("has_context"), F.lit("Brand#1"))).union(t(spark, sf_dir, "nation").select(F.lit("nobody"), F.lit("locatedin"), "n_name"))
+    claims = claims.union(t(spark, sf_dir, "part").where(parts).select("p_name", F.lit("has_context"), F.lit("Brand#1"))).union(t(spark, sf_dir, "nation").select(F.lit("nobody"), F.lit("locatedin"), "n_name"))
     return triples.verify(claims, knowledge(spark, sf_dir)).select("s", "r", "o", "status", "answer")
 
 
@@ -512,6 +532,13 @@ def mentions(spark, sf_dir):
     return exact.distinct()
 
 
+@query()
+def mentions_whole(spark, sf_dir):
+    """mentions in the whole passages."""
+    names = price_facts(spark, sf_dir).select(F.regexp_replace("entity", "part ", "").alias("surface"), "entity")
+    return extract.mentions(cp1(spark, sf_dir), names).distinct()
+
+
 @query()
 def extract_and_gate(spark, sf_dir):
     """Passages to claims by the rule extractor and the guards, then to verdicts."""
