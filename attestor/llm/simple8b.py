@@ -15,9 +15,11 @@ A word never reaches over a block, so each block decodes alone.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +36,28 @@ BLOCK = 1024
 SHARD_IDS = 1 << 20
 MAGIC = b"S8BSHARD"
 END_ID = 2
-#: Chunks and pieces whose ids a worker keeps: those that it met first, so the frequent ones.
-CACHE, PIECES = 700_000, 600_000
+#: Chunks whose ids a worker keeps: those that it met first, so the frequent ones.
+CACHE = 400_000
 #: Rows in a batch between the JVM and a worker while shards are written; texts are long, and both sides hold a batch.
 BATCH_ROWS = 1000
 
 
 def _widths() -> list[int]:
+    """Bits of an id for each selector, ascending."""
     return [60 // c for c in COUNTS]
 
 
+def _limits() -> np.ndarray:
+    """For each width the first id that is too wide."""
+    return np.array([1 << w for w in _widths()], np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _narrow() -> np.ndarray:
+    """How many widths are too narrow for each id below 65,536."""
+    return np.searchsorted(_limits(), np.arange(1 << 16, dtype=np.uint64), "right").astype(np.uint8)
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of uint64 ids, and the first word of each block; all blocks advance together."""
     n = len(ids)
@@ -51,27 +65,36 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     place = np.arange(n, dtype=np.int32) % BLOCK
     room = np.minimum(BLOCK - place, np.arange(n, 0, -1, dtype=np.int32)).astype(np.uint16)  # ids left in the block
-    small = ids.astype(np.uint16) if ids.max() < 1 << 16 else ids
-    least = sorted(_widths())
-    need = np.zeros(n, np.uint8)  # how many of the widths are too narrow for the id
-    for bits in least:
-        if small.itemsize == 8 or bits < 16:
-            need += small >= small.dtype.type(1 << bits)
-    # The selector at each id: the first (most ids) whose window has no id too wide and stays in the block. The largest need of
-    # a window comes from the windows of two shorter lengths.
-    most = {1: need}
-    for c in sorted(COUNTS):
-        if 1 < c <= n:
-            half = max(x for x in most if x < c)
-            rest = max(x for x in most if x >= c - half and x <= half)
-            m = n - c + 1
-            most[c] = np.maximum(most[half][:m], most[rest][c - rest : c - rest + m])
+    # How many of the widths, from the narrowest, are too narrow for the id.
+    need = _narrow()[ids.astype(np.uint16)] if ids.max() < 1 << 16 else np.searchsorted(_limits(), ids, "right").astype(np.uint8)
+    # The selector at each id: the last one, with counts rising, whose window stays in the block and has no id too wide. If a
+    # count doesn't fit, no larger one does, so once few places are left only these are looked at.
     select = np.full(n, ESCAPE, np.uint8)
-    for s, c in enumerate(COUNTS):
-        if c <= n:
+    widest, places, before = need, None, 1
+    for s, c in reversed(list(enumerate(COUNTS))):
+        if c > n:
+            break
+        level = _widths().index(60 // c)
+        if places is None:
             m = n - c + 1
-            fits = (most[c] <= least.index(60 // c)) & (room[:m] >= c)
-            np.minimum(select[:m], np.where(fits, np.uint8(s), np.uint8(ESCAPE)), out=select[:m])
+            for j in range(before, c):
+                widest = np.maximum(widest[:m], need[j : j + m])
+            fits = (widest <= level) & (room[:m] >= c)
+            select[:m][fits] = s
+            if 8 * np.count_nonzero(fits) < n:
+                places = np.flatnonzero(fits)
+                widest = widest[places]
+        else:
+            inside = room[places] >= c
+            places, widest = places[inside], widest[inside]
+            for j in range(before, c):
+                widest = np.maximum(widest, need[places + j])
+            fits = widest <= level
+            places, widest = places[fits], widest[fits]
+            select[places] = s
+            if not len(places):
+                break
+        before = c
     stop = np.minimum((np.arange(0, n, BLOCK) + BLOCK), n)
     step = np.array([*COUNTS, 1, 1], np.int64)[select]
     # Follow the steps in all blocks at once to find where words begin.
@@ -150,112 +173,96 @@ def read_shard(content: bytes, block: int | None = None) -> tuple[int, list[int
     return shard, names, directory[docs : 2 * docs], ids
 
 
+#: In keys of chunks: the chunk begins with a newline, or with the text. Other keys stand for a space and themselves.
+NEWLINE, START = "\0", "\1"
+
+
+class _Chunks(dict):
+    """Ids of chunks by key; a key that isn't there is encoded on the spot, and kept while there is room. KeyError where the
+    white space around a chunk doesn't let it stand alone."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
+        # The byte-level form: bytes of printable characters stand for themselves, the others for characters from 256 on.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.bytes = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - printable))}
+        # Letters (of the blocks that all Unicode versions share) and ASCII marks after them, but nothing that the splitter
+        # treats otherwise (digits, a quote and letters), are two pieces; the model encodes pieces without the splitter.
+        self.word = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-^`{-~]*)").fullmatch
+        self.newline = self.piece("\u010a")
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def piece(self, form: str) -> bytes:
+        """Ids of a piece in its byte-level form."""
+        return array("I", [t.id for t in self.tokenize(form)]).tobytes()
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts by the tokenizer itself."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __missing__(self, key: str) -> bytes:
+        lead = key[:1]
+        inner = lead > START
+        m = None if inner and key.isascii() and key.isalpha() else self.word(key, not inner)
+        if m is None and not (inner and key.isascii() and key.isalpha()):
+            body = key if inner else key[1:]
+            if body[:1].isspace() or body[-1:].isspace() or not body and lead != START:
+                raise KeyError(key)
+            ids = self.whole([(" " if inner else "\n" if lead == NEWLINE else "") + body])[0]
+        else:
+            letters, marks = m.groups() if m else (key, "")
+            ids = self.get(letters) if marks and inner else None
+            if ids is None:
+                form = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.bytes)
+                ids = self.piece("\u0120" + form) if inner else self.newline + self.piece(form) if lead == NEWLINE else self.piece(form)
+            if marks:
+                if (last := self.marks.get(marks)) is None:
+                    last = self.piece(marks)
+                    if len(self.marks) < CACHE:
+                        self.marks[marks] = last
+                ids += last
+        if len(self) < CACHE:
+            self[key] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which sees each distinct chunk once.
+    """Ids of whole texts by the tokenizers library, which sees each frequent chunk once.
 
     A byte-level tokenizer splits a text before it merges, and always before a single space or newline that stands between
-    two characters that aren't white space. So the chunks that begin at such places can be encoded alone, many in one call,
-    and their ids kept. A text with white space of another form is encoded whole.
+    two characters that aren't white space. So the chunks that begin at such places can be encoded alone and their ids kept.
+    A text with white space of another form is encoded whole.
     """
 
-    #: In keys: the chunk begins with a newline, or with the text. Other keys stand for a space and themselves.
-    NEWLINE, START = "\0", "\1"
-
     def __init__(self, path: str):
         import os
-        import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes | None] = {}
-        # Letters (of the blocks that all Unicode versions share) and ASCII marks after them, but nothing that the splitter
-        # treats otherwise (digits, a quote and letters), are two pieces; the model encodes pieces without the splitter.
-        self.word = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-^`{-~]*)")
-        self.pieces: dict[str, bytes] = {}
-        # The byte-level form: bytes of printable characters stand for themselves, the others for characters from 256 on.
-        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        self.bytes = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - printable))}
-        vocabulary = self.tokenizer.get_vocab()
-        self.begins = {lead: np.zeros(max(vocabulary.values()) + 1, bool) for lead in (" ", "\n")}
-        for token, i in vocabulary.items():  # the byte-level form of a space and of a newline
-            self.begins[" "][i], self.begins["\n"][i] = token[0] == "\u0120", token[0] == "\u010a"
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
-
-    def _marks(self, marks: str) -> bytes:
-        """Ids of marks that follow letters."""
-        found = self.pieces.get(marks)
-        if found is None:
-            found = self.pieces[marks] = self._piece(marks)
-        return found
-
-    def _learn(self, keys: list[str]) -> None:
-        """Sets known for each key; None where the white space around the chunk doesn't let it stand alone."""
-        rest = []
-        for k in keys:
-            m = self.word.fullmatch(k)
-            if m is None:
-                rest.append(k)
-                continue
-            letters, marks = m.groups()
-            first = self.pieces.get(letters)
-            if first is None:
-                first = self._piece("\u0120" + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.bytes)))
-                if len(self.pieces) < PIECES:
-                    self.pieces[letters] = first
-            self.known[k] = first + self._marks(marks) if marks else first
-        keys = rest
-        plain = [k for k in keys if k[:1] > self.START]
-        for i in range(0, len(plain), 2048):
-            self._learn_group(plain[i : i + 2048], " ", plain[i : i + 2048])
-        lines = [k for k in keys if k[:1] == self.NEWLINE]
-        for i in range(0, len(lines), 2048):
-            self._learn_group(lines[i : i + 2048], "\n", [k[1:] for k in lines[i : i + 2048]])
-        starts = [k for k in keys if k[:1] == self.START]
-        alone = [k for k in starts if not k[-1:].isspace() or len(k) == 1]
-        self.known.update(dict.fromkeys(starts))
-        self.known.update(zip(alone, self._whole([k[1:] for k in alone]), strict=True))
-        if "" in keys:
-            self.known[""] = None
-
-    def _learn_group(self, keys: list[str], lead: str, bodies: list[str]) -> None:
-        """Encodes lead + body of all keys in one call; where no body holds white space, tokens with lead first begin a key."""
-        text = lead + lead.join(bodies)
-        if len(text.split()) != len(keys):
-            single = [(k, b) for k, b in zip(keys, bodies, strict=True) if b and not b[0].isspace() and not b[-1].isspace()]
-            self.known.update(dict.fromkeys(keys))
-            self.known.update(zip([k for k, _ in single], self._whole([lead + b for _, b in single]), strict=True))
-            return
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        cuts = [*np.flatnonzero(self.begins[lead][ids]).tolist(), len(ids)]
-        raw = ids.tobytes()
-        self.known.update(zip(keys, [raw[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.known = _Chunks(tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without the end id."""
-        split = [None if self.NEWLINE in t or self.START in t else (self.START + t.replace("\n", " " + self.NEWLINE)).split(" ") for t in texts]
-        new = list(set().union(*(x for x in split if x)).difference(self.known))
-        self._learn(new)
         out: list[bytes | None] = []
-        for x in split:
+        of = self.known.__getitem__
+        for t in texts:
             try:
-                out.append(b"".join(map(self.known.__getitem__, x)) if x else None)
-            except TypeError:
+                out.append(None if NEWLINE in t or START in t else b"".join(map(of, (START + t.replace("\n", " " + NEWLINE)).split(" "))))
+            except KeyError:
                 out.append(None)
-        for k in new if len(self.known) > CACHE else [k for k in new if k[:1] == self.START]:
-            del self.known[k]
-        whole = iter(self._whole([t for t, x in zip(texts, out, strict=True) if x is None]))
+        whole = iter(self.known.whole([t for t, x in zip(texts, out, strict=True) if x is None]))
         return [next(whole) if x is None else x for x in out]
 
 
-_encoders: dict[str, Encoder] = {}
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder for each worker process. Tasks call this by name: a cache that their own code held would be pickled with it,
+    and each task would begin with an empty one."""
+    return Encoder(path)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
@@ -272,7 +279,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = _encoders.setdefault(tokenizer, Encoder(tokenizer)) if tokenizer not in _encoders else _encoders[tokenizer]
+        encoder = _encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         shard = TaskContext.get().partitionId() << 32
         names, parts, size = [], [], 0
