@@ -11,12 +11,43 @@ from pyspark.sql import functions as F
 
 from attestor.session import materialised, shared_dir, shared_path
 
-__all__ = ["SPACE", "arrow_batches", "materialised", "per_batch", "read_binary_files", "remove", "shared_dir", "shared_path", "table", "write_binary_files"]
+__all__ = ["SPACE", "arrow_batches", "join_hot", "materialised", "merged", "per_batch", "read_binary_files", "release", "remove", "shared_dir", "shared_path", "table", "write_binary_files"]
 
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`.
 SPACE = " \t\n\x0b\x0c\r"
 
 
+def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that spans cover, ascending."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+#: A key with more rows than this, or than a hundred-thousandth of all, is hot: such keys are at most 100,000, so their table is broadcast.
+HOT = 10_000
+
+
+def join_hot(rows: DataFrame, by_key: DataFrame, key: str) -> DataFrame:
+    """rows joined with by_key, which has one row a key and n, the number of rows with it; n is left out of the result.
+
+    Rows of hot keys stay where they are and meet a broadcast of the few hot ones; only the others are shuffled.
+    """
+    size = by_key.agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
+    most = max(HOT, (size.total or 0) // 100_000)
+    if (size.largest or 0) <= most:
+        return rows.join(by_key.drop("n"), key)
+    hot, cold = by_key.where(F.col("n") > most).drop("n"), by_key.where(F.col("n") <= most).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -69,6 +100,12 @@ def remove(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the files of a materialised() table that nothing reads any more."""
+    if path := getattr(df, "materialised_at", None):
+        remove(df.sparkSession, path)
+
+
 def read_binary_files(spark: SparkSession, path: str) -> DataFrame:
     """path, content of the files that write_binary_files made. File splits hold one whole file each."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")

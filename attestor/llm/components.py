@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import materialised
+from attestor.llm.common import join_hot, materialised, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,13 +17,20 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = materialised(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
     labels = materialised(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    degrees = both.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        least = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        of = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = least.join(of, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
-        done = materialised(jumped, "labels")
+        # A hub's edges, and the nodes that have the label of a large component, are keys that are not shuffled.
+        of_b = labels.withColumnRenamed("node", "b").join(degrees, "b")
+        near = join_hot(both, of_b, "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        least = materialised(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "least")
+        sizes = least.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        up = sizes.join(labels.select(F.col("node").alias("label"), F.col("label").alias("up")), "label")
+        done = materialised(join_hot(least, up, "label").select("node", "old", F.least("label", "up").alias("label")), "labels")
         changed = done.where("label <> old").limit(1).count()
-        labels = done.select("node", "label")
+        release(least)
+        release(labels)
+        labels, kept = done.select("node", "label"), done
+        labels.materialised_at = kept.materialised_at
         if not changed:
+            release(both)
             return labels

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import per_batch, table
+from attestor.llm.common import merged, per_batch, table
 
 #: Kinds of the base contract, in order, then those that the method adds.
 BASE = ("email", "ip", "card", "phone")
@@ -58,6 +59,12 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def _octet(digits: str) -> bool:
+    """At most 255; the digits may be any number of zeros and more."""
+    value = digits.lstrip("0")
+    return len(value) < 3 or len(value) == 3 and value <= "255"
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
     """Around each @, in time linear in the text: the local part is the run before it, not reaching into the last match."""
     found, last, at = [], 0, text.find("@")
@@ -105,7 +112,7 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     found = [("email", s, e) for s, e in _emails(text)]
     digits = re.search("[0-9]", text)
     if digits:
-        found += [("ip", *m.span()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))] if "." in text else []
+        found += [("ip", *m.span()) for m in IP.finditer(text) if all(_octet(x) for x in m[0].split("."))] if "." in text else []
         for m in CARD.finditer(text, digits.start()):
             number = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(number) <= 19 and luhn(number):
@@ -115,15 +122,17 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     base = [(k, s, e, min(1.0, PRIOR[k] + BOOST * _context(text, s, e, CONTEXT[k]))) for k, s, e in found]
     added = []
     if digits:
-        taken = [(s, e) for _, s, e in found]
+        starts, ends = merged([(s, e) for _, s, e in found])
         for kind, pattern in (("iban", IBAN), ("ssn", SSN), ("call", CALL)):
             for s, e in _ibans(text) if kind == "iban" else (m.span() for m in pattern.finditer(text)):
-                if any(s < y and x < e for x, y in taken):
+                at = bisect_left(ends, s + 1)  # the first taken stretch that ends after the span begins
+                if at < len(starts) and starts[at] < e:
                     continue
                 score = min(1.0, PRIOR[kind] + BOOST * _context(text, s, e, CONTEXT[kind]))
                 if score >= ACCEPT:
                     added.append((kind, s, e, score))
-                    taken.append((s, e))
+                    starts.insert(at, s)
+                    ends.insert(at, e)
     return base + added
 
 
@@ -147,7 +156,10 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span of text replaced by its kind in brackets, in place; a null text stays null."""
+    """docs with each span of text replaced by its kind in brackets, in place; of spans that overlap the first, then the longest.
+
+    A null or empty text stays as it is. Repeated rows and all other columns, whatever their names, stay too.
+    """
     names, schema = docs.columns, docs.schema
 
     def f(batch: pa.RecordBatch) -> dict:

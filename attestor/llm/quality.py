@@ -97,10 +97,10 @@ def _dictionary(texts: list[bytes]) -> bytes:
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     """The classifier from docs (doc_id, text) and labels (doc_id, quality), or None without labels of both classes.
 
-    Rows without a doc_id, quality or text, and the held-out ones, are not used; a doc_id counts once.
+    Rows without a doc_id, quality or text, the held-out ones, and a doc_id with both labels are not used; a doc_id counts once.
     """
     own = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    own = own.where(~held_out()).dropDuplicates(["doc_id"])
+    own = own.where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     counts = {r.quality: r.n for r in own.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return None
@@ -137,7 +137,11 @@ def scores(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that score below THRESHOLD, all columns kept, scored where they are read."""
+    """docs without the rows that score below THRESHOLD, all columns kept, scored where they are read.
+
+    Null and empty texts have a score like others; repeated rows and rows without a doc_id are scored each by itself; without
+    labels of both classes all rows stay.
+    """
     classifier, names = fit(docs, labels), docs.columns
     fields = docs.schema
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left
 from functools import lru_cache
 from hashlib import sha256
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import per_batch, table
+from attestor.llm.common import merged, per_batch, table
 
 BASE = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -197,7 +198,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def wide_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Runs of token characters with a digit and a letter that no base span meets."""
-    return [m.span() for m in RUN.finditer(text) if MIXED.match(m[0]) and not any(m.start() < e and s < m.end() for _, s, e in base)]
+    starts, ends = merged([(s, e) for _, s, e in base])
+    out = []
+    for m in RUN.finditer(text):
+        at = bisect_left(ends, m.start() + 1)
+        if MIXED.match(m[0]) and not (at < len(starts) and starts[at] < m.end()):
+            out.append(m.span())
+    return out
 
 
 def detect(docs: DataFrame) -> DataFrame:

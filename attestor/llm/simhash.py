@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import materialised, per_batch, table
+from attestor.llm.common import join_hot, materialised, per_batch, table
 from attestor.llm.components import components
 from attestor.llm.jaccard import near_copies, text_key
 
@@ -424,12 +424,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, tau: int = 4, seeds: tuple[
     rows stay. An empty table gives an empty result.
     """
     own = materialised(fingerprints(docs, words, seeds), "fingerprints")
-    nodes = materialised(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    nodes = materialised(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
     found = components(links(nodes, tau, 64 * len(seeds)))
-    labelled = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    smallest = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_fp = labelled.select("fp", "label").join(smallest, "label").select("fp", "component_id")
-    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    labelled = materialised(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")).withColumnRenamed("n", "copies"), "labelled")
+    smallest = labelled.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    # One fingerprint may be that of a third of all documents, one component as large: neither key is shuffled.
+    by_fp = join_hot(labelled.select("fp", "label", "copies"), smallest, "label").select("fp", "component_id", F.col("copies").alias("n"))
+    return join_hot(own, by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:

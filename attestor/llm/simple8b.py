@@ -245,6 +245,9 @@ class Encoder:
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known = _Chunks(tokenizer)
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return self.known.whole(texts)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without the end id."""
         out: list[bytes | None] = []
@@ -254,7 +257,7 @@ class Encoder:
                 out.append(None if NEWLINE in t or START in t else b"".join(map(of, (START + t.replace("\n", " " + NEWLINE)).split(" "))))
             except KeyError:
                 out.append(None)
-        whole = iter(self.known.whole([t for t, x in zip(texts, out, strict=True) if x is None]))
+        whole = iter(self._whole([t for t, x in zip(texts, out, strict=True) if x is None]))
         return [next(whole) if x is None else x for x in out]
 
 
@@ -274,7 +277,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     """
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ordered.repartitionByRange(n, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    # Texts of one doc_id, and those without, are dealt out by their hash.
+    ordered = ordered.withColumn("hash", F.xxhash64("text")).repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -218,6 +218,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         return out
 
     size = spark.read.format("binaryFile").load(f"{path}/kind=index").agg(F.sum("length")).first()[0]
+    indexes = indexes.dropDuplicates(["sha1"])  # equal archives have equal indexes, and each archive is to meet one of them
     if (size or 0) <= BROADCAST_INDEX_BYTES:
         indexes = F.broadcast(indexes)
     pairs = archives.join(indexes, "sha1").select("archive", "lines")
