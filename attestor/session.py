@@ -35,13 +35,15 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset and Spark runs in this process."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if there:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(there)
         return there.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     base = Path("/tmp/checkpoints")
     base.mkdir(parents=True, exist_ok=True)
     own = "file://" + tempfile.mkdtemp(dir=base)
@@ -59,4 +61,6 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialised_at = path
+    return out
