@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import join_hot, materialised, release
+from attestor.llm.common import HOT, join_hot, materialised, release
+
+#: Parts into which the nodes of one label are dealt.
+PARTS = 8
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,20 +20,21 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = materialised(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
     labels = materialised(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    # A hub's edges and the nodes of a large component share a key of the two joins below: the first is split by hubs, if there
+    # are any, the second by a part of each node's hash, for which labels are repeated.
     degrees = both.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    hubs = (degrees.agg(F.max("n")).first()[0] or 0) > HOT
     while True:
-        # A hub's edges, and the nodes that have the label of a large component, are keys that are not shuffled.
-        of_b = labels.withColumnRenamed("node", "b").join(degrees, "b")
-        near = join_hot(both, of_b, "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        least = materialised(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "least")
-        sizes = least.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        up = sizes.join(labels.select(F.col("node").alias("label"), F.col("label").alias("up")), "label")
-        done = materialised(join_hot(least, up, "label").select("node", "old", F.least("label", "up").alias("label")), "labels")
+        of_b = labels.withColumnRenamed("node", "b")
+        met = join_hot(both, of_b.join(degrees, "b"), "b") if hubs else both.join(of_b, "b")
+        near = met.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        least = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"), F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int").alias("part"))
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        done = materialised(least.join(up, ["label", "part"]).select("node", "old", F.least("label", "up").alias("label")), "labels")
         changed = done.where("label <> old").limit(1).count()
-        release(least)
         release(labels)
-        labels, kept = done.select("node", "label"), done
-        labels.materialised_at = kept.materialised_at
+        labels, path = done.select("node", "label"), done.materialised_at
+        labels.materialised_at = path
         if not changed:
             release(both)
             return labels
