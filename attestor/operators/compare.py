@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions.grammar import ABSENT, MOST_CHARS, numbers, parse_range, parsed
-from attestor.functions.text import clauses, false_if_null, let, squeeze
+from attestor.functions.text import clauses, false_if_null, let, literals, settled, squeeze
 
 MATCH, DIFFER, INCOMPARABLE = "MATCH", "DIFFER", "INCOMPARABLE"
 
@@ -23,10 +23,6 @@ NEGATIONS = (
 )
 
 
-def _strings(values: tuple[str, ...]) -> Column:
-    return F.array(*map(F.lit, values))
-
-
 def leading_range(claimed: Column, declared: Column, unitless: Column) -> Column:
     """The range that the longest prefix of whole words spells in the declared unit, unless a declared bound recurs after it."""
     return let(_leading_range, claimed=claimed, declared=declared, unitless=unitless)
@@ -48,60 +44,64 @@ def _leading_range(claimed: Column, declared: Column, unitless: Column) -> Colum
 
 def outcome(d: Column, c: Column, numeric: Column) -> Column:
     """MATCH, DIFFER or INCOMPARABLE for parsed values (see grammar.parsed); the first rule that applies decides."""
-    dr, dq, cq = d["r"], d["q"], c["q"]
     incomparable = F.lit(INCOMPARABLE)
-    inexact = F.when(dr.isNotNull() & c["r"].isNull(), leading_range(c["raw"], dr, numeric))
-    cr = F.coalesce(c["r"], inexact)
-    point = F.coalesce(cq, c["lead"])
-    ranges = (
-        F.when(dr["unit"] != cr["unit"], incomparable)
-        .when((cr["high"] < dr["low"]) | (cr["low"] > dr["high"]), F.lit(DIFFER))
-        .when((cr["low"] == dr["low"]) & (cr["high"] == dr["high"]) & c["r"].isNotNull(), F.lit(MATCH))
-        .otherwise(incomparable)
-    )
-    point_in_range = (
-        F.when(point.isNull() | (point["unit"] != dr["unit"]), incomparable)
-        .when(~point["value"].between(dr["low"], dr["high"]), F.lit(DIFFER))
-        .when(cq.isNotNull(), F.lit(MATCH))
-        .otherwise(incomparable)
-    )
-    leads_elsewhere = false_if_null((c["lead"]["unit"] == dq["unit"]) & (c["lead"]["value"] != dq["value"]))
-    quantities = F.when(dq["unit"] == cq["unit"], F.when(dq["value"] == cq["value"], F.lit(MATCH)).otherwise(F.lit(DIFFER))).when(leads_elsewhere, F.lit(DIFFER)).otherwise(incomparable)
-    dirty = (
-        F.when(~numeric & c["exact"], incomparable)
-        .when(F.array_contains(c["numbers"], dq["value"]), incomparable)
-        .when(leads_elsewhere, F.lit(DIFFER))
-        .otherwise(incomparable)
-    )
-    dk, ck = d["key"], c["key"]
-    words = lambda k: F.when(k == "", F.lit(0)).otherwise(F.size(F.split(k, " ")))
-    texts = (
-        F.when(dk == ck, F.lit(MATCH))
-        .when(ck.rlike(ABSENT) & ~dk.rlike(ABSENT), incomparable)
-        .when(words(ck) > F.greatest(F.lit(4), words(dk) + 2), incomparable)
-        .when(F.contains(ck, dk) | F.contains(dk, ck), incomparable)
-        .when(dk.rlike(r"(?U)\d") | ck.rlike(r"(?U)\d"), incomparable)
-        .otherwise(F.lit(DIFFER))
-    )
     return (
         F.when(c["raw"].isNull() | d["raw"].isNull(), incomparable)
         .when((F.length(d["raw"]) > MOST_CHARS) | (F.length(c["raw"]) > MOST_CHARS), incomparable)
         .when(false_if_null(d["money"] != c["money"]), incomparable)
-        .when(dr.isNotNull() & cr.isNotNull(), ranges)
-        .when(dr.isNotNull(), point_in_range)
+        .when(d["r"].isNotNull(), _to_range(d["r"], c, numeric))
         .when(c["r"].isNotNull(), incomparable)
-        .when(dq.isNotNull() & cq.isNotNull(), quantities)
-        .when(dq.isNotNull(), dirty)
-        .when(cq.isNotNull(), incomparable)
-        .otherwise(texts)
+        .when(d["q"].isNotNull(), _to_quantity(d["q"], c, numeric))
+        .when(c["q"].isNotNull(), incomparable)
+        .otherwise(let(_texts, dk=d["key"], ck=c["key"]))
     )
 
 
+def _to_range(dr: Column, c: Column, numeric: Column) -> Column:
+    """A claimed range, or the one that a claim begins with, against a declared range; else a claimed point."""
+    incomparable = F.lit(INCOMPARABLE)
+
+    def ranges(cr: Column, point: Column) -> Column:
+        both = (
+            F.when(dr["unit"] != cr["unit"], incomparable)
+            .when((cr["high"] < dr["low"]) | (cr["low"] > dr["high"]), F.lit(DIFFER))
+            .when((cr["low"] == dr["low"]) & (cr["high"] == dr["high"]) & c["r"].isNotNull(), F.lit(MATCH))
+            .otherwise(incomparable)
+        )
+        inside = (
+            F.when(point.isNull() | (point["unit"] != dr["unit"]), incomparable)
+            .when(~point["value"].between(dr["low"], dr["high"]), F.lit(DIFFER))
+            .when(c["q"].isNotNull(), F.lit(MATCH))
+            .otherwise(incomparable)
+        )
+        return F.when(cr.isNotNull(), both).otherwise(inside)
+
+    return let(ranges, cr=F.coalesce(c["r"], leading_range(c["raw"], dr, numeric)), point=F.coalesce(c["q"], c["lead"]))
+
+
+def _to_quantity(dq: Column, c: Column, numeric: Column) -> Column:
+    """Equal or not in the same unit; else only a leading number in that unit can differ, if the declared one isn't told too."""
+    incomparable, cq = F.lit(INCOMPARABLE), c["q"]
+    elsewhere = F.when(false_if_null((c["lead"]["unit"] == dq["unit"]) & (c["lead"]["value"] != dq["value"])), F.lit(DIFFER)).otherwise(incomparable)
+    return (
+        F.when(cq["unit"] == dq["unit"], F.when(dq["value"] == cq["value"], F.lit(MATCH)).otherwise(F.lit(DIFFER)))
+        .when(cq.isNull() & (~numeric & c["exact"] | F.array_contains(c["numbers"], dq["value"])), incomparable)
+        .otherwise(elsewhere)
+    )
+
+
+def _texts(dk: Column, ck: Column) -> Column:
+    """Canonical texts: only ones without digits, of similar length, neither in the other, can differ."""
+    words = lambda k: F.when(k == "", F.lit(0)).otherwise(F.size(F.split(k, " ")))
+    unlike = ck.rlike(ABSENT) & ~dk.rlike(ABSENT) | (words(ck) > F.greatest(F.lit(4), words(dk) + 2)) | F.contains(ck, dk) | F.contains(dk, ck) | F.concat(dk, ck).rlike(r"(?U)\d")
+    return F.when(dk == ck, F.lit(MATCH)).when(unlike, F.lit(INCOMPARABLE)).otherwise(F.lit(DIFFER))
+
+
 def compare(df: DataFrame, declared: str = "declared", claimed: str = "claimed", numeric: str = "numeric", compose: bool = True) -> DataFrame:
     """df with the column outcome."""
     keep = df.columns
     df = parsed(parsed(df, declared, "__d", numeric, compose), claimed, "__c", numeric, compose)
-    return df.select(*keep, outcome(F.col("__d"), F.col("__c"), F.col(numeric)).alias("outcome"))
+    return settled(df, keep, outcome=outcome(F.col("__d"), F.col("__c"), F.col(numeric)))
 
 
 def folded(c: Column) -> Column:
@@ -117,32 +117,37 @@ def is_modifier(residue: Column, raw: Column) -> Column:
     def admitted(f: Column) -> Column:
         words = F.regexp_extract_all(F.lower(f), F.lit("[a-z0-9'/%°µ+-]+"), F.lit(0))
         head = F.get(words, F.lit(0))
-        return (F.size(words) > 0) & ~F.arrays_overlap(words, _strings(STRUCTURAL)) & (F.array_contains(_strings(LEADERS + ADVERBS), head) | F.array_contains(codes, head))
+        return (F.size(words) > 0) & ~F.arrays_overlap(words, literals(STRUCTURAL)) & (F.array_contains(literals(LEADERS + ADVERBS), head) | F.array_contains(codes, head))
 
     return (text != "") & F.forall(fragments, lambda f: false_if_null(admitted(f)))
 
 
-def _grounded(declared: Column, claimed: Column, source: Column, raw: Column) -> Column:
-    nd, nc = folded(declared), folded(claimed)
-    residue = F.substring(nc, F.length(nd) + 1, F.length(nc))
-    tail = F.coalesce(raw, claimed)
-    tail = F.substring(tail, F.greatest(F.length(tail) - F.length(residue) - 3, F.lit(1)), F.length(residue) + 4)
-    spans = parse_range(claimed).isNotNull() | parse_range(nc).isNotNull() | F.coalesce(parse_range(raw).isNotNull(), F.lit(False))
-    segments = F.transform(clauses(source), folded)
-    holding = F.filter(segments, lambda s: F.contains(s, nd))
-    one = F.get(holding, F.lit(0))
-    negated = F.arrays_overlap(F.regexp_extract_all(one, F.lit("[a-z']+"), F.lit(0)), _strings(NEGATIONS))
-    return (
-        (nd != "") & (nc != nd) & F.startswith(nc, nd) & is_modifier(residue, tail) & ~residue.rlike(r"(?U)\d|\p{N}")
-        & ~(spans & parse_range(declared).isNull()) & (F.size(holding) == 1) & F.contains(one, nc) & ~negated
-    )
-
-
 def source_grounded(declared: Column, claimed: Column, source: Column, raw: Column) -> Column:
-    """Whether the source states the whole claim in the only clause that states the declared value; false if it can't be shown."""
+    """Whether the source states the whole claim, normalised or raw, in the only clause that states the declared value; false if
+    it can't be shown. Everything but the comparison of prefixes is evaluated only where the claim extends the declared value."""
     return let(_source_grounded, declared=declared, claimed=claimed, source=source, raw=raw)
 
 
 def _source_grounded(declared: Column, claimed: Column, source: Column, raw: Column) -> Column:
-    some = (F.length(declared) > 0) & (F.length(source) > 0)
-    return false_if_null(some & (false_if_null(_grounded(declared, claimed, source, raw)) | false_if_null(_grounded(declared, raw, source, raw))))
+    nd = folded(declared)
+    longer = F.filter(F.array_distinct(F.array(claimed, raw)), lambda x: F.startswith(folded(x), nd) & (folded(x) != nd))
+
+    def stated(nd: Column, clauses_of_it: Column, span: Column, longer: Column) -> Column:
+        one = F.get(clauses_of_it, F.lit(0))
+        negated = F.arrays_overlap(F.regexp_extract_all(one, F.lit("[a-z']+"), F.lit(0)), literals(NEGATIONS))
+        return (F.size(clauses_of_it) == 1) & ~negated & F.exists(longer, lambda x: false_if_null(_admitted(nd, x, raw, one, span)))
+
+    holding = F.filter(F.transform(clauses(source), folded), lambda s: F.contains(s, nd))
+    found = let(stated, nd=nd, clauses_of_it=holding, span=parse_range(declared).isNotNull(), longer=longer)
+    return F.when((nd != "") & (F.length(source) > 0) & (F.size(longer) > 0), false_if_null(found)).otherwise(False)
+
+
+def _admitted(nd: Column, claimed: Column, raw: Column, clause: Column, span: Column) -> Column:
+    """What follows the declared value in a claim is a scope phrase without digits, the clause has the claim, and the claim is
+    no range unless the declared value is one."""
+    nc = folded(claimed)
+    residue = F.substring(nc, F.length(nd) + 1, F.length(nc))
+    tail = F.coalesce(raw, claimed)
+    tail = F.substring(tail, F.greatest(F.length(tail) - F.length(residue) - 3, F.lit(1)), F.length(residue) + 4)
+    becomes_range = ~span & F.exists(F.array(claimed, nc, raw), lambda x: parse_range(x).isNotNull())
+    return F.contains(clause, nc) & is_modifier(residue, tail) & ~residue.rlike(r"(?U)\d|\p{N}") & ~becomes_range

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions.stats import rate, with_wilson
-from attestor.functions.text import cites, is_abstention, is_correction
 
 
 def trial_status(status: Column) -> Column:
@@ -28,14 +27,6 @@ def leak_overblock(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(rate(F.col("passed"), bad).alias("leak"), rate(~F.col("passed"), good).alias("overblock"), F.count_if(bad).alias("n_bad"), F.count_if(good).alias("n_good"))
 
 
-def scored(rows: DataFrame) -> DataFrame:
-    """rows (split, response, expected) with correct and abstained by the rule of their split."""
-    response, expected = F.col("response"), F.col("expected")
-    abstained = is_abstention(response)
-    correct = F.when(F.col("split") == "unknowable", abstained).when(F.col("split") == "adversarial_nearmiss", is_correction(response, expected)).otherwise(cites(response, expected))
-    return rows.withColumn("correct", correct).withColumn("abstained", abstained)
-
-
 def accuracy(rows: DataFrame, by: list[str], flag: str = "correct") -> DataFrame:
     """k, n, rate and Wilson bounds of a flag."""
     counted = rows.groupBy(*by).agg(F.count_if(F.col(flag)).alias("k"), F.count(F.lit(1)).alias("n"))
@@ -50,8 +41,8 @@ def label_sentences(sentences: DataFrame, spans: DataFrame, on: str) -> DataFram
 
 
 def report(rows: DataFrame) -> str:
-    """Markdown of a bounded result table."""
-    own = rows.limit(1000).collect()
+    """Markdown of a whole result table, which the driver takes row by row."""
+    own = rows.toLocalIterator()
     head = f"| {' | '.join(rows.columns)} |\n|{'---|' * len(rows.columns)}"
     cell = lambda x: "n/a" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
     return "\n".join([head, *(f"| {' | '.join(map(cell, r))} |" for r in own)])

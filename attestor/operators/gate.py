@@ -7,23 +7,25 @@ from pyspark.sql import functions as F
 
 from attestor import __version__
 from attestor.functions.grammar import parsed
-from attestor.functions.text import false_if_null, strip
+from attestor.functions.text import false_if_null, let, settled, strip
 from attestor.operators.compare import DIFFER, MATCH, outcome, source_grounded
 
 VERIFIED, BLOCK, HELD = "VERIFIED", "BLOCK", "HELD"
-#: Most rows of the alias and slot tables that are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Most rows and bytes (as JSON) of a table that is broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if its size has been checked to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df with a broadcast hint if its rows and bytes have been counted to be few."""
+    size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return F.broadcast(df) if size.n <= BROADCAST_ROWS and (size.bytes or 0) <= BROADCAST_BYTES else df
 
 
 def resolve(claims: DataFrame, aliases: DataFrame) -> DataFrame:
     """claims with entity: the owner of the mention, white space and case aside."""
-    known = small(aliases.select(F.col("surface").alias("__surface"), "entity"))
-    return claims.withColumn("__surface", F.lower(strip(F.col("entity_mention")))).join(known, "__surface", "left").drop("__surface")
+    known = small(aliases.select(F.col("surface").alias("__surface"), F.col("entity").alias("__entity")))
+    rows = claims.drop("entity").withColumn("__mention", F.lower(strip(F.col("entity_mention")))).join(known, F.col("__mention") == F.col("__surface"), "left")
+    return rows.drop("__mention", "__surface").withColumnRenamed("__entity", "entity")
 
 
 def applies(when: Column, context: Column) -> Column:
@@ -35,60 +37,80 @@ def applies(when: Column, context: Column) -> Column:
 def chosen(variants: Column, context: Column) -> Column:
     """The one fact for a context, or null: a lone unconditional one; else the only conditional one that applies; else, if a
     context is given and none applies, the only unconditional one."""
-    context = F.coalesce(context, F.create_map().cast("map<string,string>"))
-    conditional = F.filter(variants, lambda v: (F.size(v["when"]) > 0) & applies(v["when"], context))
-    plain = F.filter(variants, lambda v: F.size(v["when"]) == 0)
-    lone = (F.size(variants) == 1) & (F.size(plain) == 1)
-    default = F.when((F.size(context) > 0) & (F.size(plain) == 1), F.get(plain, F.lit(0)))
-    return F.when(lone, F.get(variants, F.lit(0))).when(F.size(conditional) == 1, F.get(conditional, F.lit(0))).when(F.size(conditional) == 0, default)
+    def pick(variants: Column, context: Column) -> Column:
+        conditional = F.filter(variants, lambda v: (F.size(v["when"]) > 0) & applies(v["when"], context))
+        plain = F.filter(variants, lambda v: F.size(v["when"]) == 0)
+        return let(_pick, variants=variants, conditional=conditional, plain=plain, given=F.size(context) > 0)
 
+    first = F.get(variants, F.lit(0))
+    several = let(pick, variants=variants, context=F.coalesce(context, F.create_map().cast("map<string,string>")))
+    return F.when((F.size(variants) == 1) & (F.size(first["when"]) == 0), first).otherwise(several)
 
-def gate(claims: DataFrame, aliases: DataFrame, slots: DataFrame, fingerprint: str = "", normalise=lambda c: c, compose: bool = True, conditional: bool = True) -> DataFrame:
+
+def _pick(variants: Column, conditional: Column, plain: Column, given: Column) -> Column:
+    only = lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0)))
+    return F.coalesce(only(conditional), F.when((F.size(conditional) == 0) & given, only(plain)))
+
+
+#: What a claim is to one variant of its slot.
+SAME, OTHER, QUOTED, UNDECIDED = "SAME", "OTHER", "QUOTED", "UNDECIDED"
+
+
+def _judged(v: Column, c: Column, numeric: Column, normal: Column, raw: Column) -> Column:
+    """A variant with what the claim is to it. The source is read only where values can't be compared."""
+    found = outcome(v["d"], c, numeric)
+    quoted = F.when(source_grounded(v["o"], normal, v["source"], raw), F.lit(QUOTED)).otherwise(F.lit(UNDECIDED))
+    verdict = F.when(v["d"].isNull(), F.lit(UNDECIDED)).otherwise(let(lambda x: F.when(x == MATCH, F.lit(SAME)).when(x == DIFFER, F.lit(OTHER)).otherwise(quoted), x=found))
+    return F.struct(v["o"].alias("o"), v["source"].alias("source"), v["when"].alias("when"), verdict.alias("is"))
+
+
+def check_arguments(claims: DataFrame) -> None:
+    """Raises TypeError unless mention, relation and value are strings and the context is a map of strings."""
+    types = {f.name: f.dataType.simpleString() for f in claims.schema}
+    for name, wanted in (("entity_mention", "string"), ("relation", "string"), ("claimed_value", "string"), ("context", "map<string,string>")):
+        if types.get(name) not in (wanted, "void"):
+            raise TypeError(f"{name} must be {wanted}, got {types.get(name)}")
+
+
+def gate(claims: DataFrame, aliases: DataFrame, slots: DataFrame, fingerprint: str = "", normalise=lambda c: c, compose: bool = True) -> DataFrame:
     """claims (entity_mention, relation, claimed_value, context) with entity, status, declared, source, reason, fingerprint, version.
 
-    Null values are HELD, never VERIFIED or BLOCK. Facts are parsed once; nothing of the claims is shuffled while aliases and
-    slots are small. conditional=False leaves out the ambiguous paths where every slot has one unconditional fact.
+    Null values are HELD, never VERIFIED or BLOCK. Facts are parsed once, a claim once, and each variant of its slot is judged
+    once; nothing of the claims is shuffled while aliases and slots are small. Columns of claims with names of the result are
+    replaced, others are kept whatever their names.
     """
-    keep = [c for c in claims.columns if c not in ("entity",)]
-    known = small(slots)
-    rows = resolve(claims, aliases).join(known, ["entity", "relation"], "left")
-    rows = rows.withColumn("__normal", normalise(F.col("claimed_value"))).withColumn("__numeric", F.coalesce("numeric", F.lit(False)))
+    check_arguments(claims)
+    added = ("entity", "status", "declared", "source", "reason", "factset_fingerprint", "library_version")
+    keep = [c for c in claims.columns if c not in added]
+    known = small(slots.select(F.col("entity").alias("__e"), F.col("relation").alias("__r"), F.col("numeric").alias("__n"), F.col("variants").alias("__variants")))
+    rows = resolve(claims, aliases)
+    rows = rows.join(known, (rows["entity"] == F.col("__e")) & (rows["relation"] == F.col("__r")), "left").drop("__e", "__r")
+    rows = rows.withColumn("__normal", normalise(F.col("claimed_value"))).withColumn("__numeric", F.coalesce("__n", F.lit(False)))
     rows = parsed(rows, "__normal", "__c", "__numeric", compose)
-    one = chosen(F.col("variants"), F.col("context")) if conditional else F.get("variants", F.lit(0))
-    rows = rows.withColumn("__one", one)
-    fact, c, numeric = F.col("__one"), F.col("__c"), F.col("__numeric")
-    rows = rows.withColumn("__outcome", F.when(fact.isNotNull(), outcome(fact["d"], c, numeric)))
-    quoted = source_grounded(fact["o"], F.col("__normal"), fact["source"], F.col("claimed_value"))
-    single = F.when(F.col("__outcome") == MATCH, F.lit("MATCH")).when(F.col("__outcome") == DIFFER, F.lit("DIFFER")).when(quoted, F.lit("QUOTED")).otherwise(F.lit("UNDECIDED"))
-    rows = rows.withColumn("__single", F.when(fact.isNotNull(), single))
-    if conditional:
-        each = F.transform("variants", lambda v: F.struct(v["o"].alias("o"), outcome(v["d"], c, numeric).alias("x"), source_grounded(v["o"], F.col("__normal"), v["source"], F.col("claimed_value")).alias("q")))
-        rows = rows.withColumn("__each", F.when(fact.isNull() & F.col("variants").isNotNull(), each))
-        hit = F.get(F.filter("__each", lambda e: (e["x"] == MATCH) | e["q"]), F.lit(0))
-        differ = false_if_null(F.forall("__each", lambda e: e["x"] == DIFFER))
-        joined = F.array_join(F.transform("variants", lambda v: v["o"]), " | ")
-        keys = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("variants", lambda v: F.map_keys(v["when"]))))), ", ")
-    else:
-        hit, differ, joined, keys = F.lit(None).cast("struct<o: string>"), F.lit(False), F.lit(None).cast("string"), F.lit("")
-    status = (
-        F.when(F.col("entity").isNull() | F.col("variants").isNull(), F.lit(HELD))
-        .when(fact.isNotNull(), F.when(F.col("__single").isin("MATCH", "QUOTED"), F.lit(VERIFIED)).when(F.col("__single") == "DIFFER", F.lit(BLOCK)).otherwise(F.lit(HELD)))
-        .when(hit.isNull() & differ, F.lit(BLOCK))
-        .otherwise(F.lit(HELD))
-    )
-    declared = F.when(fact.isNotNull(), fact["o"]).when(hit.isNotNull(), hit["o"]).otherwise(joined)
+    each = F.transform("__variants", lambda v: _judged(v, F.col("__c"), F.col("__numeric"), F.col("__normal"), F.col("claimed_value")))
+    rows = rows.withColumn("__each", each)
+    rows = rows.withColumn("__one", chosen(F.col("__each"), F.col("context")))
+    one = F.col("__one")
+    several = F.col("__each").isNotNull() & one.isNull()
+    rows = rows.withColumn("__hit", F.when(several, F.get(F.filter("__each", lambda e: e["is"].isin(SAME, QUOTED)), F.lit(0))))
+    hit, first = F.col("__hit"), F.get("__each", F.lit(0))
+    differ = several & F.forall("__each", lambda e: e["is"] == OTHER)
+    joined = F.array_join(F.transform("__each", lambda e: e["o"]), " | ")
+    keys = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("__each", lambda e: F.map_keys(e["when"]))))), ", ")
+    unknown, undeclared = F.col("entity").isNull(), F.col("__each").isNull()
+    status = F.when(one["is"].isin(SAME, QUOTED), F.lit(VERIFIED)).when((one["is"] == OTHER) | false_if_null(differ), F.lit(BLOCK)).otherwise(F.lit(HELD))
     reason = (
-        F.when(F.col("entity").isNull(), F.lit("the entity is not in the fact set"))
-        .when(F.col("variants").isNull(), F.lit("no fact for this entity and relation"))
-        .when(F.col("__single") == "MATCH", F.lit("matches the declared value"))
-        .when(F.col("__single") == "DIFFER", F.lit("differs from the declared value"))
-        .when(F.col("__single") == "QUOTED", F.lit("the source states the whole claim"))
-        .when(F.col("__single") == "UNDECIDED", F.lit("can't be compared with the declared value"))
+        F.when(unknown, F.lit("the entity is not in the fact set"))
+        .when(undeclared, F.lit("no fact for this entity and relation"))
+        .when(one["is"] == SAME, F.lit("matches the declared value"))
+        .when(one["is"] == OTHER, F.lit("differs from the declared value"))
+        .when(one["is"] == QUOTED, F.lit("the source states the whole claim"))
+        .when(one.isNotNull(), F.lit("can't be compared with the declared value"))
         .when(hit.isNotNull(), F.concat(F.lit("depends on "), keys))
         .when(differ, F.lit("differs from the value under every condition"))
         .otherwise(F.concat(F.lit("undecided under "), keys))
     )
-    return rows.select(
-        *keep, "entity", status.alias("status"), declared.alias("declared"), F.coalesce(fact["source"], F.lit("")).alias("source"), reason.alias("reason"), F.lit(fingerprint).alias("factset_fingerprint"),
-        F.lit(__version__).alias("library_version"),
+    return settled(
+        rows, [*keep, "entity"], status=status, declared=F.coalesce(one["o"], hit["o"], joined), source=F.coalesce(one["source"], hit["source"], first["source"], F.lit("")), reason=reason,
+        factset_fingerprint=F.lit(fingerprint), library_version=F.lit(__version__),
     )

@@ -2,42 +2,119 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.functions.text import squeeze
-from attestor.operators.compare import MATCH, compare
+from attestor.functions.grammar import parsed
+from attestor.functions.text import literals, squeeze, strip
+from attestor.operators.compare import MATCH, outcome
+from attestor.operators.extract import is_grounded, mentions
+
+#: Words whose qualifier would change what a value means; words that begin sentences.
+RISKY = ("per", "day", "daily", "week", "month", "year", "annual", "hour", "dose", "user", "query")
+OPENERS = ("the", "a", "an", "we", "it", "this", "that", "they", "our", "based", "according", "there", "these", "for", "in", "on", "at", "as")
+CAPITALISED = r"(?U)\b([A-Z][\w&.-]*(?:\s+[A-Z][\w&.-]*){0,3})"
+EDGES = " ,.;:"
+MOST_CANDIDATES = 4
+
 
-#: Words whose qualifier would change what a value means.
-RISKY = ("per", "day", "daily", "week", "weekly", "month", "monthly", "year", "yearly", "annual", "hour", "hourly", "dose", "maximum", "minimum", "not")
+def residue(declared: Column, claimed: Column) -> Column:
+    """head and tail: what stands on either side of the declared value's first number in the claim, without the declared unit;
+    null where the claim hasn't the number, empty where nothing stands there."""
+    number = F.regexp_extract(declared, r"[0-9][0-9,]*(?:\.[0-9]+)?", 0)
+    at = F.instr(claimed, number)
+    unit = F.lower(strip(F.substring(declared, F.instr(declared, number) + F.length(number), F.length(declared))))
+    after = F.regexp_replace(F.substring(claimed, at + F.length(number), F.length(claimed)), r"(?U)^\s+", "")
+    tail = F.when((unit != "") & F.startswith(F.lower(after), unit), F.substring(after, F.length(unit) + 1, F.length(after))).otherwise(after)
+    parts = F.struct(F.btrim(F.substring(claimed, F.lit(1), at - 1), F.lit(EDGES)).alias("head"), F.btrim(tail, F.lit(EDGES)).alias("tail"))
+    return F.when((number != "") & (at > 0), parts)
 
 
-def suggest_qualifiers(held: DataFrame) -> DataFrame:
-    """residue, n, example, risky of held (pos, declared, claimed): what follows or precedes the declared number where the rest matches.
+def suggest_qualifiers(held: DataFrame, normalise: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """residue, n, example, risky of held (pos, declared, claimed): the least wording whose removal makes a claim match: what
+    follows the declared number, or precedes it, or both.
 
-    The claim without the residue must match the declared value as it stands. Most frequent first, then by text; the example
-    is the first in order.
+    Claims that match as they are suggest nothing. Values are compared as texts of no declared kind. Most frequent first, then
+    by first occurrence; the example is the first claim in order.
     """
-    number = F.regexp_extract("declared", r"[0-9][0-9,]*(?:\.[0-9]+)?(?:\s*[a-zA-Zµ%°/]+)?", 0)
-    rows = held.withColumn("__n", number).where((F.col("__n") != "") & F.contains(F.lower("claimed"), F.lower("__n")))
-    at = F.instr(F.lower("claimed"), F.lower("__n"))
-    rows = rows.withColumn("head", squeeze(F.substring(F.col("claimed"), F.lit(1), at - 1))).withColumn("tail", squeeze(F.substring(F.col("claimed"), at + F.length("__n"), F.length("claimed"))))
-    rows = rows.withColumn("residue", F.when(F.col("tail") != "", F.col("tail")).otherwise(F.col("head"))).where("residue <> ''")
-    rows = rows.withColumn("__rest", squeeze(F.replace(F.col("claimed"), F.col("residue"), F.lit("")))).withColumn("__false", F.lit(False))
-    matching = compare(rows, "declared", "__rest", "__false").where(F.col("outcome") == MATCH)
-    risky = F.arrays_overlap(F.regexp_extract_all(F.lower("residue"), F.lit("[a-z]+"), F.lit(0)), F.array(*map(F.lit, RISKY)))
-    counted = matching.groupBy("residue").agg(F.count(F.lit(1)).alias("n"), F.min_by("claimed", "pos").alias("example"))
-    return counted.withColumn("risky", risky).orderBy(F.desc("n"), "residue")
+    rows = held.withColumn("__n", normalise(F.col("claimed"))).withColumn("__r", residue(F.col("declared"), F.col("claimed")))
+    head, tail = F.col("__r.head"), F.col("__r.tail")
+    without = lambda c, part: F.when(part != "", F.replace(c, part, F.lit(""))).otherwise(c)
+    ways = F.array(
+        F.struct(F.lit(0).alias("way"), F.array(tail).alias("parts"), without(F.col("claimed"), tail).alias("rest")), F.struct(F.lit(1).alias("way"), F.array(head).alias("parts"), without(F.col("claimed"), head).alias("rest")),
+        F.struct(F.lit(2).alias("way"), F.array(head, tail).alias("parts"), without(without(F.col("claimed"), head), tail).alias("rest")),
+    )
+    rows = rows.withColumn("__ways", F.filter(ways, lambda w: F.exists(w["parts"], lambda p: p != "")))
+    no = F.lit(False)
+    rows = parsed(parsed(rows, "declared", "__d", no), "__n", "__c", no).where(F.coalesce(outcome(F.col("__d"), F.col("__c"), no) != MATCH, F.lit(True)))
+    each = rows.where("__r is not null").select("pos", "declared", "claimed", "__d", F.explode("__ways").alias("__way"))
+    each = parsed(each.withColumn("__rest", normalise(F.btrim(F.col("__way.rest"), F.lit(EDGES)))), "__rest", "__c", no).where(outcome(F.col("__d"), F.col("__c"), no) == MATCH)
+    first = each.groupBy("pos").agg(F.min_by(F.struct(F.col("__way.parts").alias("parts"), "claimed"), "__way.way").alias("x"))
+    told = first.select("pos", F.col("x.claimed").alias("claimed"), F.explode(F.filter("x.parts", lambda p: p != "")).alias("residue"))
+    counted = told.groupBy("residue").agg(F.count(F.lit(1)).alias("n"), F.min_by("claimed", "pos").alias("example"), F.min("pos").alias("__first"))
+    risky = F.col("residue").rlike(rf"(?iU)\b(?:{'|'.join(RISKY)})\b")
+    return counted.withColumn("risky", risky).orderBy(F.desc("n"), "__first", "residue").drop("__first")
+
+
+def stems(names: Column) -> Column:
+    """The first four letters of each word of four letters or more of some names."""
+    words = F.flatten(F.transform(names, lambda n: F.regexp_extract_all(F.lower(n), F.lit("[a-z]{4,}"), F.lit(0))))
+    return F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 4)))
+
 
+def candidates(text: Column, own: Column, taken: Column) -> Column:
+    """The first four names that a text has for an entity, each once but for case: runs of capitalised words, then words with a
+    stem of its names (own); neither its names, nor those of others (taken), nor a sentence's opener."""
+    low = lambda c: F.lower(c)
+    known = lambda w: F.array_contains(own, low(w)) | F.array_contains(taken, low(w))
+    runs = F.transform(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(1)), lambda p: F.btrim(p, F.lit(".,;:")))
+    runs = F.filter(runs, lambda p: (F.length(p) > 1) & ~known(p) & ~F.array_contains(literals(OPENERS), low(p)))
+    words = F.filter(F.regexp_extract_all(text, F.lit("[a-zA-Z]{4,}"), F.lit(0)), lambda w: F.array_contains(stems(own), F.substring(low(w), 1, 4)) & ~known(w))
+    both = F.concat(runs, words)
+    lows = F.transform(both, low)
+    return F.slice(F.filter(both, lambda x, i: F.array_position(lows, low(x)) == i + 1), 1, MOST_CANDIDATES)
 
-def suggest_aliases(unlinked: DataFrame) -> DataFrame:
-    """text_id, candidates: the first four capitalised runs, distinct but for case, of passages in which no entity was found."""
-    runs = F.regexp_extract_all("text", F.lit(r"[A-Z][A-Za-z0-9]+(?: [A-Z][A-Za-z0-9]+)*"), F.lit(0))
-    first = F.filter(F.transform(runs, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda a: F.array_position(F.transform(runs, lambda y: F.lower(y)), F.lower(a["x"])) == a["i"] + 1)
-    return unlinked.select("text_id", F.slice(F.transform(first, lambda a: a["x"]), 1, 4).alias("candidates"))
+
+def suggest_aliases(unlinked: DataFrame, surfaces: DataFrame | None = None, aliases: Mapping[str, str] | None = None) -> DataFrame:
+    """text_id, candidates of unlinked (text_id, text, and optionally entity, declared): names under which an entity may be meant.
+
+    Where declared is given, only texts that state it count; with surfaces (surface, entity) only texts that mention no entity,
+    the entity's own names are left out and give the stems, and names of other entities are left out too. An alias is only
+    ever a suggestion.
+    """
+    rows = unlinked
+    if "declared" in rows.columns:
+        rows = rows.where(is_grounded(F.col("declared"), F.col("text"), aliases))
+    none = literals(())
+    if surfaces is None:
+        found = candidates(F.col("text"), none, none)
+        return rows.select("text_id", found.alias("candidates")).where("size(candidates) > 0")
+    seen = mentions(rows.select(F.col("text_id").alias("passage_id"), "text"), surfaces).select(F.col("passage_id").alias("text_id"))
+    names = surfaces.select(F.col("entity").alias("__entity"), F.explode(F.array(F.lower("entity"), F.lower("surface"))).alias("name")).distinct()
+    own = names.groupBy("__entity").agg(F.collect_set("name").alias("__own"))
+    rows = rows.join(seen, "text_id", "left_anti").join(own, F.col("entity") == F.col("__entity"), "left").withColumn("__own", F.coalesce("__own", F.array(F.lower("entity"))))
+    # Other entities' names are looked up by the names that were found, never gathered.
+    open_ = rows.select("text_id", "entity", candidates(F.col("text"), F.col("__own"), none).alias("found"), F.col("text"), "__own")
+    runs = F.filter(F.regexp_extract_all("text", F.lit(CAPITALISED), F.lit(1)), lambda p: F.length(p) > 1)
+    asked = open_.select("text_id", F.col("entity").alias("__of"), F.explode(F.array_distinct(F.transform(F.concat("found", runs), lambda x: F.lower(F.btrim(x, F.lit(".,;:")))))).alias("name"))
+    taken = asked.join(names, "name").where(F.col("__entity") != F.col("__of")).groupBy("text_id", "__of").agg(F.collect_set("name").alias("__taken"))
+    rows = rows.join(taken, (rows["text_id"] == taken["text_id"]) & (rows["entity"] == taken["__of"]), "left").drop(taken["text_id"])
+    return rows.select("text_id", candidates(F.col("text"), F.col("__own"), F.coalesce("__taken", none)).alias("candidates")).where("size(candidates) > 0")
 
 
 def rendered(suggestions: DataFrame) -> str:
-    """A report of a bounded number of suggestions."""
-    rows = suggestions.limit(100).collect()
-    return "\n".join(f"{r.n:>5}  {'RISKY ' if r.risky else ''}{r.residue!r}, as in {r.example!r}" for r in rows)
+    """A report of all qualifier suggestions: those to declare, then those to review."""
+    rows = list(suggestions.toLocalIterator())
+    if not rows:
+        return "no qualifier suggestions"
+    line = lambda r: f"{r.n:>5}  {r.residue!r}, as in {r.example!r}"
+    safe, risky = [line(r) for r in rows if not r.risky], [line(r) for r in rows if r.risky]
+    return "\n".join([*(["to declare:", *safe] if safe else []), *(["to review, as they say when or of what a value holds:", *risky] if risky else [])])
+
+
+def rendered_aliases(suggestions: DataFrame) -> str:
+    """A report of all alias suggestions."""
+    rows = [f"{r.text_id}: " + ", ".join(map(repr, r.candidates)) for r in suggestions.orderBy("text_id").toLocalIterator()]
+    return "\n".join(["names that may be missing, each to be reviewed:", *rows]) if rows else "no alias suggestions"

@@ -64,7 +64,7 @@ def price_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_verdicts(spark: SparkSession, sf_dir: str, compose: bool = True) -> DataFrame:
     facts = price_facts(spark, sf_dir)
     aliases = facts.select(F.col("entity").alias("surface"), "entity")
-    return gate.gate(price_claims(spark, sf_dir), aliases, factset.slots(facts, compose=compose), "prices", compose=compose, conditional=False)
+    return gate.gate(price_claims(spark, sf_dir), aliases, factset.slots(facts, compose=compose), "prices", compose=compose)
 
 
 PRICE_SQL = """select l_orderkey, l_linenumber, l_partkey, l_returnflag, cast(cast(p_retailprice as decimal(18,2)) as varchar) as price,
@@ -88,52 +88,47 @@ def verdict_rollup(spark, sf_dir):
 
 
 @query("""select s_suppkey, case when s_suppkey % 3 = 0 then 'HELD' when s_suppkey % 5 = r_regionkey then 'VERIFIED' else 'BLOCK' end as status,
-  case when s_suppkey % 3 = 0 then '$' || (10 + s_suppkey % 5) else '$' || (10 + r_regionkey) end as declared
+  case when s_suppkey % 3 = 0 then '$' || (10 + s_suppkey % 5) else '$' || (10 + r_regionkey) end as declared, 'tariff ' || case when s_suppkey % 3 = 0 then s_suppkey % 5 else r_regionkey end as source
 from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
 def conditional_lookup(spark, sf_dir):
     """A fee that depends on the region; a third of the claims come without a region."""
     region = t(spark, sf_dir, "region")
-    facts = region.select(F.col("r_regionkey").alias("pos"), F.lit("carrier").alias("entity"), F.lit("fee").alias("relation"), F.concat(F.lit("$"), (10 + F.col("r_regionkey")).cast("string")).alias("o"), F.lit("").alias("source"), F.create_map(F.lit("region"), F.col("r_name")).alias("when"), F.lit(True).alias("numeric"))
+    facts = region.select(F.col("r_regionkey").alias("pos"), F.lit("carrier").alias("entity"), F.lit("fee").alias("relation"), F.concat(F.lit("$"), (10 + F.col("r_regionkey")).cast("string")).alias("o"), F.concat(F.lit("tariff "), F.col("r_regionkey").cast("string")).alias("source"), F.create_map(F.lit("region"), F.col("r_name")).alias("when"), F.lit(True).alias("numeric"))
     rows = t(spark, sf_dir, "supplier").join(t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     context = F.when(F.col("s_suppkey") % 3 != 0, F.create_map(F.lit("Region"), F.lower("r_name")))
     claims = rows.select("s_suppkey", F.lit("Carrier").alias("entity_mention"), F.lit("fee").alias("relation"), F.concat(F.lit("$"), (10 + F.col("s_suppkey") % 5).cast("string")).alias("claimed_value"), context.alias("context"))
     aliases = spark.createDataFrame([("carrier", "carrier")], "surface string, entity string")
-    return gate.gate(claims, aliases, factset.slots(facts)).select("s_suppkey", "status", "declared")
+    return gate.gate(claims, aliases, factset.slots(facts)).select("s_suppkey", "status", "declared", "source")
 
 
-GRID_SQL = """with v as (select p_partkey, p_size, case p_partkey % 5 when 0 then p_size || ' kg' when 1 then '$' || p_size when 2 then p_size || '-' || (p_size + 10) || ' kg' when 3 then p_size || '+ kg' else p_brand end as v from part)
+GRID_SQL = """with v as (select p_partkey, p_size, p_partkey % 5 as k, p_brand as v from part)
 select d.p_partkey as d, c.p_partkey as c, case
-  when d.p_partkey % 5 = 3 and c.p_partkey % 5 = 3 then (case when d.p_size = c.p_size then 'MATCH' else 'INCOMPARABLE' end)
-  when d.p_partkey % 5 = 0 and c.p_partkey % 5 = 0 then (case when d.p_size = c.p_size then 'MATCH' else 'DIFFER' end)
-  when d.p_partkey % 5 = 1 and c.p_partkey % 5 = 1 then (case when d.p_size = c.p_size then 'MATCH' else 'DIFFER' end)
-  when d.p_partkey % 5 = 2 and c.p_partkey % 5 = 0 then (case when c.p_size between d.p_size and d.p_size + 10 then 'MATCH' else 'DIFFER' end)
-  when d.p_partkey % 5 = 2 and c.p_partkey % 5 = 2 then (case when d.p_size = c.p_size then 'MATCH' when abs(d.p_size - c.p_size) > 10 then 'DIFFER' else 'INCOMPARABLE' end)
-  when d.p_partkey % 5 = 4 and c.p_partkey % 5 = 4 then (case when d.v = c.v then 'MATCH' else 'INCOMPARABLE' end)
+  when d.k = 4 and c.k = 4 then (case when d.v = c.v then 'MATCH' else 'INCOMPARABLE' end)
+  when d.k in (0, 1) and c.k = d.k then (case when d.p_size = c.p_size then 'MATCH' else 'DIFFER' end)
+  when d.k = 2 and c.k = 0 then (case when c.p_size between d.p_size and d.p_size + 10 then 'MATCH' else 'DIFFER' end)
+  when d.k = 3 and c.k = 0 then (case when c.p_size >= d.p_size then 'MATCH' else 'DIFFER' end)
+  when d.k = 2 and c.k = 2 then (case when d.p_size = c.p_size then 'MATCH' when abs(d.p_size - c.p_size) > 10 then 'DIFFER' else 'INCOMPARABLE' end)
+  when d.k = 3 and c.k = 3 then (case when d.p_size = c.p_size then 'MATCH' else 'INCOMPARABLE' end)
+  when d.k = 2 and c.k = 3 then (case when c.p_size > d.p_size + 10 then 'DIFFER' else 'INCOMPARABLE' end)
+  when d.k = 3 and c.k = 2 then (case when c.p_size + 10 < d.p_size then 'DIFFER' else 'INCOMPARABLE' end)
   else 'INCOMPARABLE' end as outcome
-from v d join v c on c.p_partkey = d.p_partkey * 7 % (select count(*) from part) where d.p_partkey % 5 <> 3 and c.p_partkey % 5 <> 3"""
+from v d join v c on c.p_partkey = d.p_partkey * 7 % (select count(*) from part)"""
 
 
-def _grid(spark, sf_dir, kept) -> DataFrame:
+@query(GRID_SQL)
+def compare_grid(spark, sf_dir):
+    """Every part's value against that of another part: quantities, money, closed and open ranges, and names."""
     part = t(spark, sf_dir, "part")
     size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 5
-    value = F.when(k == 0, F.concat(size, F.lit(" kg"))).when(k == 1, F.concat(F.lit("$"), size)).when(k == 2, F.concat(size, F.lit("-"), (F.col("p_size") + 10).cast("string"), F.lit(" kg"))).when(k == 3, F.concat(size, F.lit("+ kg"))).otherwise(F.col("p_brand"))
-    rows = part.where(kept).select("p_partkey", value.alias("v"))
-    n = part.agg(F.count(F.lit(1)).alias("n"))
-    other = rows.join(F.broadcast(n)).select(F.col("p_partkey").alias("d"), F.col("v").alias("declared"), (F.col("p_partkey") * 7 % F.col("n")).alias("c"))
+    value = F.when(k == 0, F.concat(size, F.lit(" kg"))).when(k == 1, F.concat(F.lit("$"), size)).when(k == 2, F.concat(size, F.lit("-"), (F.col("p_size") + 10).cast("string"), F.lit(" kg"))).when(k == 3, F.concat(size, F.lit(" kg+"))).otherwise(F.col("p_brand"))
+    rows = part.select("p_partkey", value.alias("v"))
+    n = part.count()
+    other = rows.select(F.col("p_partkey").alias("d"), F.col("v").alias("declared"), (F.col("p_partkey") * 7 % F.lit(n)).alias("c"))
     both = other.join(rows.select(F.col("p_partkey").alias("c"), F.col("v").alias("claimed")), "c").withColumn("numeric", F.lit(False))
     return compare.compare(both).select("d", "c", "outcome")
 
 
-@query(GRID_SQL)
-def compare_grid(spark, sf_dir):
-    """Every part's value against that of another part: quantities, money, ranges and names."""
-    return _grid(spark, sf_dir, "p_partkey % 5 <> 3")
-
-
-@query()
-def compare_grid_whole(spark, sf_dir):
-    """compare_grid over all parts, with the open-ended ranges."""
-    return _grid(spark, sf_dir, "true")
+compare_grid_whole = compare_grid
 
 
 # The value grammar
@@ -221,36 +216,53 @@ def fact_conflicts(spark, sf_dir):
 @query("select p_brand as relation, p_size || ' mg' as normal, count(distinct p_size || ' mg ' || p_type) as n from part group by 1, 2 having count(distinct p_type) > 1")
 def lint_qualifier_collapse(spark, sf_dir):
     """Values that a declared qualifier makes equal."""
-    part = t(spark, sf_dir, "part")
     own = factset.FactSet(value_qualifiers=["[A-Z]{3,}"])
-    rows = part.select(F.col("p_brand").alias("relation"), F.concat(F.col("p_size").cast("string"), F.lit(" mg "), F.col("p_type")).alias("o"))
-    return rows.withColumn("normal", own.normalise(F.col("o"))).groupBy("relation", "normal").agg(F.countDistinct("o").alias("n")).where("n > 1")
+    rows = t(spark, sf_dir, "part").select(F.col("p_brand").alias("relation"), F.concat(F.col("p_size").cast("string"), F.lit(" mg "), F.col("p_type")).alias("o"))
+    return factset.collapsed(rows, own.normalise).select("relation", "normal", F.col("n").cast("long").alias("n"))
 
 
-@query("select o_custkey from orders group by 1 having count(*) = 1 and max(o_orderstatus) <> 'O'")
+@query("select l_orderkey as entity from lineitem group by 1 having count(*) = 1 and max(l_returnflag) <> 'N'")
 def lint_lone_condition(spark, sf_dir):
-    """Slots with one value, and that under a condition."""
-    rows = t(spark, sf_dir, "orders").withColumn("conditional", (F.col("o_orderstatus") != "O").cast("int"))
-    return rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("conditional").alias("w")).where("n = 1 and w = 1").select("o_custkey")
+    """Slots with one value, and that under a condition: orders of one item, with its return flag as condition."""
+    condition = F.when(F.col("l_returnflag") != "N", F.create_map(F.lit("flag"), F.col("l_returnflag"))).otherwise(F.create_map().cast("map<string,string>"))
+    rows = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity"), F.lit("item").alias("relation"), condition.alias("when"))
+    return factset.lone_conditions(rows).select("entity")
 
 
 QUOTE_SQL = """with q as (select item_id, regexp_replace(trim(text), '\\s+', ' ', 'g') as quote from benchmark),
 d as (select doc_id, regexp_replace(text, '\\s+', ' ', 'g') as text from documents)"""
 
 
+#: Most short quotes, and most keys, that are written into a filter.
+MOST_KEYS = 10_000
+
+
 def quotes_found(spark, sf_dir) -> DataFrame:
-    """item_id, doc_id: quotes that stand, white space aside, in a document. A quote meets the documents with its second to
-    fourth words, by an equi-join; what is inside a quote are whole words."""
+    """item_id, doc_id: quotes that stand, white space aside, in a document.
+
+    What is inside a quote of five words or more are whole words: it meets the documents that hold its second to fourth words,
+    in a row, by their hash, which are filtered inside the documents before any row is made. Shorter quotes, few as they must
+    be, are sought one by one.
+    """
     space = r"[\t\n\x0b\f\r ]+"
-    own = t(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.trim("text"), space, " ").alias("quote"))
-    words = F.split("quote", " ")
-    own = own.withColumn("key", F.xxhash64(F.slice(words, 2, 3))).where(F.size(words) >= 5)
+    own = t(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.trim("text"), space, " ").alias("quote")).withColumn("words", F.split("quote", " "))
+    short = [r.quote for r in own.where("size(words) < 5 and quote <> ''").select("quote").distinct().limit(MOST_KEYS + 1).collect()]
+    if len(short) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} quotes of fewer than five words")
+    long = own.where("size(words) >= 5").select("item_id", "quote", F.xxhash64(F.col("words")[1], F.col("words")[2], F.col("words")[3]).alias("key"))
     docs = t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", space, " ").alias("body"))
-    w = F.split("body", " ")
-    three = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(F.array(x, F.get(w, i + 1), F.get(w, i + 2))))
-    keys = gate.small(own.select("key").distinct())
-    met = docs.select("doc_id", F.explode(F.array_distinct(three)).alias("key")).join(keys, "key").join(gate.small(own), "key").select("doc_id", "item_id", "quote").distinct()
-    return met.join(docs, "doc_id").where(F.contains("body", "quote")).select("item_id", "doc_id").distinct()
+    rows = docs.withColumn("w", F.split("body", " ")).withColumn("n", F.greatest(F.size("w") - 2, F.lit(0)))
+    trio = F.arrays_zip(F.slice("w", 1, F.col("n")).alias("a"), F.slice("w", 2, F.col("n")).alias("b"), F.slice("w", 3, F.col("n")).alias("c"))
+    rows = rows.select("doc_id", "body", F.array_distinct(F.transform(trio, lambda x: F.xxhash64(x["a"], x["b"], x["c"]))).alias("keys"))
+    keys = [r.key for r in long.select("key").distinct().limit(MOST_KEYS + 1).collect()]
+    if 0 < len(keys) <= MOST_KEYS:
+        rows = rows.withColumn("keys", F.expr(f"filter(keys, x -> x in ({', '.join(map(str, keys))}))"))
+    met = rows.select("doc_id", "body", F.explode("keys").alias("key")).join(gate.small(long), "key")
+    found = met.where(F.contains("body", "quote")).select("item_id", "doc_id")
+    if short:
+        hits = docs.select("doc_id", F.explode(F.filter(text.literals(short), lambda q: F.contains(F.col("body"), q))).alias("quote"))
+        found = found.union(hits.join(F.broadcast(own.where("size(words) < 5").select("item_id", "quote")), "quote").select("item_id", "doc_id"))
+    return found.distinct()
 
 
 @query(QUOTE_SQL + " select item_id, count(distinct doc_id) as n from q join d on contains(d.text, q.quote) group by 1")
@@ -298,7 +310,10 @@ def abstention_rate(spark, sf_dir):
     return rounded(evaluation.accuracy(rows, ["role"], "flag").select("role", "k", "n", "lo", "hi"))
 
 
-@query(f"select role, k, n, {ROUNDED} from (select role, k, n, {WILSON} from (select role, count(*) filter (where conv_id % 4 = 1 and conv_id % 3 <> 0) as k, count(*) as n from {CP2_SQL} group by 1))")
+DENIES = " or ".join(f"contains(lower(text), '{p}')" for p in ("no,", "no.", "not correct", "incorrect", "that''s wrong", "actually,", "false.", "false,"))
+
+
+@query(f"select role, k, n, {ROUNDED} from (select role, k, n, {WILSON} from (select role, count(*) filter (where ({DENIES}) and conv_id % 3 <> 0) as k, count(*) as n from {CP2_SQL} group by 1))")
 def correction_rate(spark, sf_dir):
     """Denials that also give the known answer, which stands in two thirds of the turns."""
     rows = cp2(spark, sf_dir).withColumn("text", F.when(F.col("conv_id") % 3 != 0, F.concat(F.col("text"), F.lit(" (Zanzibar-Town) "))).otherwise(F.col("text")))
@@ -312,13 +327,20 @@ def citations_extract(spark, sf_dir):
     return rows.select("conv_id", "turn", "c.s", "c.r", "c.o")
 
 
-@query(f"""select conv_id, turn, case when length(trim(text)) < 12 or trim(text) like '%?' or conv_id % 4 = 0 then 'SKIP' when conv_id % 3 = 0 then 'HELD' when turn % 2 = 0 then 'PASS' else 'BLOCK' end as policy from {CP2_SQL}""")
+@query(f"""with c as (select conv_id, turn, trim(text) as text, conv_id % 4 = 0 as refuses from {CP2_SQL}),
+v as (select conv_id, turn, bool_or(n_regionkey <> (turn + k) % 5) as wrong from c, range(2) r(k) join nation on n_nationkey = (conv_id + k) % 25 where conv_id % 3 <> 0 group by all)
+select conv_id, turn, case when length(text) < 12 or text like '%?' or refuses then 'SKIP' when wrong is null then 'HELD' when wrong then 'BLOCK' else 'PASS' end as policy from c left join v using (conv_id, turn)""")
 def sentence_policy(spark, sf_dir):
-    """Turns with no triples, verified ones, or one contradicted."""
+    """Turns as sentences. Two thirds come with two triples of nations and regions, which are verified; a wrong one blocks."""
     rows = cp2(spark, sf_dir)
-    none = F.array().cast("array<string>")
-    statuses = F.when(F.col("conv_id") % 3 == 0, none).when(F.col("turn") % 2 == 0, F.array(F.lit("VERIFIED"), F.lit("VERIFIED"))).otherwise(F.array(F.lit("VERIFIED"), F.lit("CONTRADICTED")))
-    return rows.select("conv_id", "turn", evaluation.sentence_policy(text.is_assertion(F.col("text")), statuses).alias("policy"))
+    nation, region = t(spark, sf_dir, "nation"), t(spark, sf_dir, "region")
+    kb = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("s"), F.lit("locatedin").alias("r"), F.col("r_name").alias("o"))
+    two = rows.where("conv_id % 3 <> 0").select("conv_id", "turn", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    two = two.join(F.broadcast(nation), F.col("n_nationkey") == (F.col("conv_id") + F.col("k")) % 25).join(F.broadcast(region), F.col("r_regionkey") == (F.col("turn") + F.col("k")) % 5)
+    checked = triples.verify(two.select("conv_id", "turn", F.col("n_name").alias("s"), F.lit("locatedin").alias("r"), F.col("r_name").alias("o")), kb)
+    own = checked.groupBy("conv_id", "turn").agg(F.collect_list("status").alias("statuses"))
+    rows = rows.join(own, ["conv_id", "turn"], "left").withColumn("statuses", F.coalesce("statuses", text.literals(())))
+    return rows.select("conv_id", "turn", evaluation.sentence_policy(text.is_assertion(F.col("text")), F.col("statuses")).alias("policy"))
 
 
 SPANS_SQL = "(select conv_id, turn * 100 as s, turn * 100 + 100 as e, turn from conversations)"
@@ -349,10 +371,11 @@ def cluster_wilson_by_lang(spark, sf_dir):
 
 @query("""select source, round(count(*) filter (where toxic = 1 and quality = 1) / nullif(count(*) filter (where toxic = 1), 0), 9) as leak,
   round(count(*) filter (where toxic = 0 and quality = 0) / nullif(count(*) filter (where toxic = 0), 0), 9) as overblock, count(*) filter (where toxic = 1) as n_bad, count(*) filter (where toxic = 0) as n_good
-from documents join labels using (doc_id) group by 1""")
+from (select source, case when lang <> 'de' then toxic end as toxic, quality from documents join labels using (doc_id)) group by 1""")
 def leak_overblock(spark, sf_dir):
-    rows = t(spark, sf_dir, "documents").select("doc_id", "source").join(t(spark, sf_dir, "labels"), "doc_id")
-    rows = rows.select("source", (F.col("toxic") == 1).alias("hallucinated"), (F.col("quality") == 1).alias("passed"), F.lit(False).alias("skipped"))
+    """Toxic documents of good quality leak, others of bad quality are over-blocked; German ones are skipped."""
+    rows = t(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(t(spark, sf_dir, "labels"), "doc_id")
+    rows = rows.select("source", (F.col("toxic") == 1).alias("hallucinated"), (F.col("quality") == 1).alias("passed"), (F.col("lang") == "de").alias("skipped"))
     return evaluation.leak_overblock(rows, ["source"]).withColumns({c: F.round(c, 9) for c in ("leak", "overblock")})
 
 
@@ -381,23 +404,27 @@ def triple_kb(spark, sf_dir):
 
 
 @query("""with k as (select s, r, count(distinct o) as n, min(o) as answer from """ + TRIPLES_SQL + """ group by all),
-c as (select s_name as s, 'locatedin' as r, 'NATION_' || (s_suppkey % 25) as o from supplier union all select p_name, 'has_context', 'Brand#1' from part where p_partkey < 50 union all select 'nobody', 'locatedin', n_name from nation)
-select c.s, c.r, c.o, case when n is null then 'OUT_OF_KB' when n > 1 then 'UNRESOLVED' when answer = c.o then 'VERIFIED' when c.r = 'locatedin' then 'CONTRADICTED' else 'UNRESOLVED' end as status, case when n = 1 then answer end as answer
+c as (select s_name as s, 'locatedin' as r, 'NATION_' || (s_suppkey % 25) as o from supplier union all select p_name, 'has_context', 'Brand#1' from part union all select 'nobody', 'locatedin', n_name from nation)
+select c.s, c.r, c.o, case when n is null then 'OUT_OF_KB' when n > 1 then 'UNRESOLVED' when answer = c.o then 'VERIFIED' when c.r = 'locatedin' then 'CONTRADICTED' else 'UNRESOLVED' end as status, case when n = 1 then lower(replace(answer, ' ', '_')) end as answer
 from c left join k using (s, r)""")
 def verify_triples(spark, sf_dir):
-    return _verified(spark, sf_dir, "p_partkey < 50")
+    claims = t(spark, sf_dir, "supplier").select(F.col("s_name").alias("s"), F.lit("locatedin").alias("r"), F.concat(F.lit("NATION_"), (F.col("s_suppkey") % 25).cast("string")).alias("o"))
+    claims = claims.union(t(spark, sf_dir, "part").select("p_name", F.lit("has_context"), F.lit("Brand#1"))).union(t(spark, sf_dir, "nation").select(F.lit("nobody"), F.lit("locatedin"), "n_name"))
+    return triples.verify(claims, knowledge(spark, sf_dir)).select("s", "r", "o", "status", "answer")
 
 
-@query()
-def verify_triples_whole(spark, sf_dir):
-    """verify_triples with claims for all parts."""
-    return _verified(spark, sf_dir, "true")
+verify_triples_whole = verify_triples
 
 
-def _verified(spark, sf_dir, parts) -> DataFrame:
-    claims = t(spark, sf_dir, "supplier").select(F.col("s_name").alias("s"), F.lit("locatedin").alias("r"), F.concat(F.lit("NATION_"), (F.col("s_suppkey") % 25).cast("string")).alias("o"))
-    claims = claims.union(t(spark, sf_dir, "part").where(parts).select("p_name", F.lit("has_context"), F.lit("Brand#1"))).union(t(spark, sf_dir, "nation").select(F.lit("nobody"), F.lit("locatedin"), "n_name"))
-    return triples.verify(claims, knowledge(spark, sf_dir)).select("s", "r", "o", "status", "answer")
+@query("""select n_name as s, 'Found In' as r, r_name as o, case when n_regionkey = (n_nationkey + 1) % 5 then 'VERIFIED' when n_nationkey % 2 = 0 then 'CONTRADICTED' else 'UNRESOLVED' end as status
+from nation join region on r_regionkey = (n_nationkey + 1) % 5""")
+def verify_canonical(spark, sf_dir):
+    """Claims whose relation and names are spelt otherwise than the facts; every other wrong one is denied by name."""
+    nation, region = t(spark, sf_dir, "nation"), t(spark, sf_dir, "region")
+    kb = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("  "), F.lower("n_name")).alias("s"), F.lit("seen_in").alias("r"), F.col("r_name").alias("o"))
+    claims = nation.join(region, F.col("r_regionkey") == (F.col("n_nationkey") + 1) % 5).select(F.col("n_name").alias("s"), F.lit("Found In").alias("r"), F.col("r_name").alias("o"), "n_nationkey")
+    denied = claims.where("n_nationkey % 2 = 0").select(F.upper("s").alias("s"), "r", F.lower("o").alias("o"))
+    return triples.verify(claims, kb, denied=denied, synonyms={"found_in": "seen_in"}).select("s", "r", "o", "status")
 
 
 @query(f"""select s, r, o, score, rank from (select s, r, o, score, row_number() over (partition by s, r order by score desc, o) as rank from (select s, r, o, count(*) as score from {TRIPLES_SQL} group by all)) where rank <= 5""")
@@ -446,7 +473,7 @@ def first_values(spark, sf_dir):
 
 @query(f"select s, count(distinct r || '/' || o) as degree from {TRIPLES_SQL} group by 1")
 def adjacency_degree(spark, sf_dir):
-    return triples.adjacency(knowledge(spark, sf_dir)).select("s", F.size("edges").cast("long").alias("degree"))
+    return triples.adjacency(knowledge(spark, sf_dir)).groupBy("s").agg(F.sum(F.size("edges")).cast("long").alias("degree"))
 
 
 @query(f"""select s, r, o, rank from (select n_name as s, 'locatedin' as r, k.s as o, row_number() over (partition by n_name order by k.s) as rank from nation join (select distinct s, o from {TRIPLES_SQL} where r = 'locatedin') k on k.o = n_name) where rank <= 3""")
@@ -481,21 +508,6 @@ def render_extract_roundtrip(spark, sf_dir):
     return rows.groupBy("s", "r", "o").agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_if(same).cast("int").alias("parsed"))
 
 
-@query()
-def near_miss_corrupt(spark, sf_dir):
-    return datagen.near_misses(knowledge(spark, sf_dir))
-
-
-@query()
-def holdout_split(spark, sf_dir):
-    return datagen.held_out(knowledge(spark, sf_dir).distinct(), 100, 7)
-
-
-@query()
-def unanswerable_pairs(spark, sf_dir):
-    return datagen.unanswerable(knowledge(spark, sf_dir))
-
-
 @query(f"select a.s as start, b.o as \"end\", count(*) as n from {TRIPLES_SQL} a join {TRIPLES_SQL} b on a.o = b.s where a.s <> a.o and b.o <> a.s and b.o <> a.o group by all")
 def two_hop_paths(spark, sf_dir):
     rows = datagen.paths(knowledge(spark, sf_dir), 2)
@@ -508,57 +520,74 @@ def sft_validity(spark, sf_dir):
     return rows.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(datagen.is_valid(F.col("m"))).alias("valid"))
 
 
-# Extraction
-
-CP1_SQL = "'Part ' || p_partkey || ' costs $' || cast(cast(p_retailprice as decimal(18,2)) as varchar) || ' per unit.'"
+# Extraction. Line items are passages that state a part's price, double it, weigh it, or say nothing; answers are as a model gives them.
 
 
 def cp1(spark, sf_dir) -> DataFrame:
-    """Passages that state a part's price right, doubled, twice, or in words only."""
-    rows = price_claims(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey").join(price_facts(spark, sf_dir).select("entity", "o", F.regexp_extract("entity", r"[0-9]+", 0).cast("long").alias("l_partkey")), "l_partkey")
+    """passage_id, text, kind (the item's line number) and price."""
+    rows = price_claims(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey").join(price_facts(spark, sf_dir).select("o", F.regexp_extract("entity", r"[0-9]+", 0).cast("long").alias("l_partkey")), "l_partkey")
     price = F.substring("o", 2, 30)
     k = F.col("l_linenumber") % 4
     other = F.concat(F.lit("$"), (2 * price.cast("decimal(18,2)")).cast("string"))
     body = F.when(k == 0, F.concat(F.lit(" costs "), F.col("o"), F.lit(" per unit."))).when(k == 1, F.concat(F.lit(" costs "), other, F.lit(" per unit."))).when(k == 2, F.concat(F.lit(" weighs "), price, F.lit(" kg, or was it "), F.col("l_linenumber").cast("string"), F.lit(" kg?"))).otherwise(F.lit(" has a price."))
-    return rows.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("passage_id"), F.concat(F.lit("Part\n"), F.col("l_partkey").cast("string"), body).alias("text"))
+    return rows.select(
+        F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey").alias("passage_id"), F.concat(F.lit("Part\n"), F.col("l_partkey").cast("string"), body).alias("text"), F.col("l_linenumber").alias("kind"), F.col("o").alias("price"), other.alias("double")
+    ).distinct()
+
+
+CP1_SQL = """p as (select distinct l_orderkey || '/' || l_linenumber || '/' || l_partkey as passage_id, l_linenumber as kind, l_partkey, cast(cast(p_retailprice as decimal(18,2)) as varchar) as price, cast(2 * cast(p_retailprice as decimal(18,2)) as varchar) as double from lineitem join part on l_partkey = p_partkey),
+t as (select *, 'Part ' || l_partkey || case kind % 4 when 0 then ' costs $' || price || ' per unit.' when 1 then ' costs $' || double || ' per unit.' when 2 then ' weighs ' || price || ' kg, or was it ' || kind || ' kg?' else ' has a price.' end as text from p),
+m as (select distinct t.*, p_partkey, 'part ' || p_partkey as entity, cast(cast(p_retailprice as decimal(18,2)) as varchar) as stated from (select *, unnest(regexp_extract_all(text, '[0-9]+')) as word from t) t join part on word = cast(p_partkey as varchar))"""
+
 
+def part_names(spark, sf_dir) -> DataFrame:
+    return price_facts(spark, sf_dir).select(F.col("entity").alias("surface"), "entity")
 
-@query("select distinct l_orderkey || '/' || l_linenumber as passage_id, 'part ' || p_partkey as entity from lineitem join part on l_partkey = p_partkey")
+
+@query(f"with {CP1_SQL} select passage_id, entity from m")
 def mentions(spark, sf_dir):
-    facts = price_facts(spark, sf_dir)
+    """Parts named in whole passages: every name begins with the same word, and any number beside it may be a part's."""
+    return extract.mentions(cp1(spark, sf_dir).select("passage_id", "text"), part_names(spark, sf_dir))
+
+
+mentions_whole = mentions
+
+
+def told(spark, sf_dir) -> DataFrame:
+    """passage_id, entity, relation, answer: a labelled quote of the price, a repetition, the first weight, a refusal, a value made up."""
     passages = cp1(spark, sf_dir)
-    names = facts.select(F.regexp_replace("entity", "part ", "").alias("surface"), "entity")
-    exact = extract.mentions(passages.withColumn("text", F.regexp_extract("text", r"^Part\s[0-9]+", 0)), names)
-    return exact.distinct()
+    k = F.col("kind")
+    answer = (
+        F.when(k == 4, F.concat(F.lit('"Value: '), F.col("price"), F.lit('."\n\nNote: as told.'))).when(k == 1, F.concat(F.lit("\n "), F.col("double"))).when(k % 4 == 2, F.concat(F.substring("price", 2, 30), F.lit(" kg")))
+        .when(k % 4 == 3, F.lit("Not provided.")).otherwise(F.col("price"))
+    )
+    asked = extract.mentions(passages.select("passage_id", "text"), part_names(spark, sf_dir))
+    return asked.join(passages.select("passage_id", answer.alias("answer")), "passage_id").select("passage_id", "entity", F.lit("retail_price").alias("relation"), "answer")
 
 
-@query()
-def mentions_whole(spark, sf_dir):
-    """mentions in the whole passages."""
-    names = price_facts(spark, sf_dir).select(F.regexp_replace("entity", "part ", "").alias("surface"), "entity")
-    return extract.mentions(cp1(spark, sf_dir), names).distinct()
+NUMBERS_OF_TEXT = "regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')"
+SHORT = "rtrim(rtrim({}, '0'), '.')"
 
 
-@query()
+@query(f"""with {CP1_SQL}, n as (select *, {NUMBERS_OF_TEXT} as ns from m),
+v as (select *, case when kind = 4 then '$' || price when kind = 1 then '$' || double when kind = 5 then '$' || price when kind % 4 = 2 then price || ' kg' end as value,
+  kind % 4 <> 3 and (list_contains(ns, case when kind = 1 then double else price end) or list_contains(ns, {SHORT.format("case when kind = 1 then double else price end")})) as grounded,
+  kind % 4 < 2 and (list_contains(ns, stated) or list_contains(ns, {SHORT.format("stated")})) as told from n),
+w as (select *, kind % 4 = 2 and cast(price as double) <> kind as several from v),
+x as (select *, case when grounded then (case when several then 'unresolved' else 'claim' end) when kind % 4 <> 3 and told then 'unresolved' else 'dropped' end as state from w)
+select passage_id, entity, state, case when grounded then value when state = 'unresolved' then '$' || stated end as value,
+  case when state <> 'claim' then null when value like '%kg' then 'HELD' when cast(value[2:] as decimal(18,2)) = cast(stated as decimal(18,2)) then 'VERIFIED' else 'BLOCK' end as status from x""")
 def extract_and_gate(spark, sf_dir):
-    """Passages to claims by the rule extractor and the guards, then to verdicts."""
+    """Passages and answers to claims by the guards, and claims to verdicts."""
     facts = price_facts(spark, sf_dir)
     slots = factset.slots(facts)
-    names = facts.select(F.regexp_replace("entity", "part ", "").alias("surface"), "entity")
-    claims = extract.extract(cp1(spark, sf_dir), names, slots, facts)
-    told = claims.where("state = 'claim'").select("passage_id", F.col("entity").alias("entity_mention"), "relation", F.col("value").alias("claimed_value"), no_context())
-    return gate.gate(told, facts.select(F.col("entity").alias("surface"), "entity"), slots, conditional=False).select("passage_id", "entity", "status", "declared")
+    found = extract.extract(cp1(spark, sf_dir).select("passage_id", "text"), part_names(spark, sf_dir), slots, facts, answers=told(spark, sf_dir))
+    claims = found.select("passage_id", "state", F.col("entity").alias("entity_mention"), "relation", F.col("value").alias("claimed_value"), no_context())
+    got = gate.gate(claims, part_names(spark, sf_dir), slots)
+    return got.select("passage_id", "entity", "state", F.col("claimed_value").alias("value"), F.when(F.col("state") == "claim", F.col("status")).alias("status"))
 
 
-@query("select p_partkey, p_partkey % 3 = 0 as grounded, p_partkey % 3 = 2 as ambiguous from part")
-def value_guards(spark, sf_dir):
-    """Values that the passage states, states with another number, or states beside a second one."""
-    size = F.col("p_size").cast("string")
-    k = F.col("p_partkey") % 3
-    passage = F.concat(F.lit("Take "), F.when(k == 0, size).otherwise((F.col("p_size") + 100).cast("string")), F.lit(" milligrams"), F.when(k == 2, F.concat(F.lit(" or 7777 milligrams"))).otherwise(F.lit("")), F.lit("."))
-    value = F.concat(size, F.lit(" milligrams"))
-    none = F.array().cast("array<double>")
-    return t(spark, sf_dir, "part").select("p_partkey", extract.is_grounded(value, passage).alias("grounded"), extract.is_ambiguous(value, passage, none).alias("ambiguous"))
+# Suggestions
 
 
 @query("""select 'net of ' || lower(p_brand) as residue, count(*) as n, false as risky from part group by 1""")
@@ -590,3 +619,4 @@ def json_field_sum(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.sum("p.k").alias("total"))
 
 
+from attestor.plans import answers, examples, texts, trials  # noqa: E402, F401  # they register their queries
