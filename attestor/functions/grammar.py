@@ -8,6 +8,7 @@ bounds, a plus at the end. parsed() keeps tokens and gaps in columns of their ow
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -223,19 +224,37 @@ def is_currency(q: Column, r: Column) -> Column:
 FIELDS = ("raw", "q", "r", "money", "exact", "lead", "numbers", "key")
 
 
-def parsed(df: DataFrame, column: str, out: str, numeric: str | Column, compose: bool = True) -> DataFrame:
-    """df with the struct column out: everything that a comparison needs of a value, each pattern evaluated once."""
-    flag = F.col(numeric) if isinstance(numeric, str) else numeric
-    keep, raw = df.columns, F.col(column)
-    df = df.withColumns({"__text": _text(raw), "__flag": false_if_null(flag), "__key": text_key(raw, compose), "__numbers": numbers(raw)})
-    df = df.withColumns({f"__{k}": v for k, v in _lex(F.col("__text")).items()})
+@lru_cache(maxsize=2)
+def _stages(compose: bool) -> tuple[dict[str, Column], ...]:
+    """The columns that parsed() adds, stage by stage, from __raw and __flag: built once, as building them takes longer than
+    planning them."""
+    raw = F.col("__raw")
     x = {k: F.col(f"__{k}") for k in ("text", "tokens", "gaps", "n", "head", "first", "tail")}
-    df = df.withColumns({f"__{k}": v for k, v in _look(x).items()})
-    df = df.withColumns({"__money": _money(x), "__exact": _exact(x), "__plain": _plain(x), "__r1": _range(x, F.lit(True)), "__lead": _leading(x)})
     money, exact, plain, r1 = (F.col(f"__{k}") for k in ("money", "exact", "plain", "r1"))
     r0 = F.when(r1["unit"] != "", r1)
+    q, r = F.coalesce(money, F.when(F.col("__flag"), exact), plain), F.when(F.col("__flag"), r1).otherwise(r0)
+    # Number tokens and the text key are asked for only where a value is neither a quantity nor a range.
+    words = F.col("__q").isNull() & F.col("__r").isNull()
     value = F.struct(
-        raw.alias("raw"), F.coalesce(money, F.when(F.col("__flag"), exact), plain).alias("q"), F.when(F.col("__flag"), r1).otherwise(r0).alias("r"), is_currency(F.coalesce(money, plain), r0).alias("money"),
-        exact.isNotNull().alias("exact"), F.col("__lead").alias("lead"), F.col("__numbers").alias("numbers"), F.col("__key").alias("key"),
+        raw.alias("raw"), F.col("__q").alias("q"), F.col("__r").alias("r"), is_currency(F.coalesce(money, plain), r0).alias("money"), exact.isNotNull().alias("exact"), F.col("__lead").alias("lead"),
+        F.when(words, numbers(raw)).alias("numbers"), F.when(words, text_key(raw, compose)).alias("key"),
     )
-    return settled(df, keep, **{out: value})
+    return (
+        {"__text": _text(raw)},
+        {f"__{k}": v for k, v in _lex(x["text"]).items()},
+        {f"__{k}": v for k, v in _look(x).items()},
+        {"__money": _money(x), "__exact": _exact(x), "__plain": _plain(x), "__r1": _range(x, F.lit(True)), "__lead": _leading(x)},
+        {"__q": q, "__r": r},
+        {"value": value},
+    )
+
+
+def parsed(df: DataFrame, column: str, out: str, numeric: str | Column, compose: bool = True) -> DataFrame:
+    """df with the struct column out: everything that a comparison needs of a value, each pattern evaluated once."""
+    flag = F.col(numeric) if isinstance(numeric, str) else numeric
+    keep = df.columns
+    df = df.withColumns({"__raw": F.col(column), "__flag": false_if_null(flag)})
+    *stages, last = _stages(compose)
+    for stage in stages:
+        df = df.withColumns(stage)
+    return settled(df, keep, **{out: last["value"]})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,21 +89,27 @@ def gate(claims: DataFrame, aliases: DataFrame, slots: DataFrame, fingerprint: s
     rows = rows.join(known, (rows["entity"] == F.col("__e")) & (rows["relation"] == F.col("__r")), "left").drop("__e", "__r")
     rows = rows.withColumn("__normal", normalise(F.col("claimed_value"))).withColumn("__numeric", F.coalesce("__n", F.lit(False)))
     rows = parsed(rows, "__normal", "__c", "__numeric", compose)
+    *stages, verdict = _stages()
+    for stage in stages:
+        rows = rows.withColumns(stage)
+    return settled(rows, [*keep, "entity"], **verdict, factset_fingerprint=F.lit(fingerprint), library_version=F.lit(__version__))
+
+
+@lru_cache(maxsize=1)
+def _stages() -> tuple[dict[str, Column], ...]:
+    """The columns from a claim (__c, __normal, claimed_value, context, entity) and its slot (__variants, __numeric) to its
+    verdict, stage by stage, built once."""
     each = F.transform("__variants", lambda v: _judged(v, F.col("__c"), F.col("__numeric"), F.col("__normal"), F.col("claimed_value")))
-    rows = rows.withColumn("__each", each)
-    rows = rows.withColumn("__one", chosen(F.col("__each"), F.col("context")))
-    one = F.col("__one")
+    one, hit, first = F.col("__one"), F.col("__hit"), F.get("__each", F.lit(0))
     several = F.col("__each").isNotNull() & one.isNull()
-    rows = rows.withColumn("__hit", F.when(several, F.get(F.filter("__each", lambda e: e["is"].isin(SAME, QUOTED)), F.lit(0))))
-    hit, first = F.col("__hit"), F.get("__each", F.lit(0))
+    found = F.when(several, F.get(F.filter("__each", lambda e: e["is"].isin(SAME, QUOTED)), F.lit(0)))
     differ = several & F.forall("__each", lambda e: e["is"] == OTHER)
     joined = F.array_join(F.transform("__each", lambda e: e["o"]), " | ")
     keys = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("__each", lambda e: F.map_keys(e["when"]))))), ", ")
-    unknown, undeclared = F.col("entity").isNull(), F.col("__each").isNull()
     status = F.when(one["is"].isin(SAME, QUOTED), F.lit(VERIFIED)).when((one["is"] == OTHER) | false_if_null(differ), F.lit(BLOCK)).otherwise(F.lit(HELD))
     reason = (
-        F.when(unknown, F.lit("the entity is not in the fact set"))
-        .when(undeclared, F.lit("no fact for this entity and relation"))
+        F.when(F.col("entity").isNull(), F.lit("the entity is not in the fact set"))
+        .when(F.col("__each").isNull(), F.lit("no fact for this entity and relation"))
         .when(one["is"] == SAME, F.lit("matches the declared value"))
         .when(one["is"] == OTHER, F.lit("differs from the declared value"))
         .when(one["is"] == QUOTED, F.lit("the source states the whole claim"))
@@ -110,7 +118,5 @@ def gate(claims: DataFrame, aliases: DataFrame, slots: DataFrame, fingerprint: s
         .when(differ, F.lit("differs from the value under every condition"))
         .otherwise(F.concat(F.lit("undecided under "), keys))
     )
-    return settled(
-        rows, [*keep, "entity"], status=status, declared=F.coalesce(one["o"], hit["o"], joined), source=F.coalesce(one["source"], hit["source"], first["source"], F.lit("")), reason=reason,
-        factset_fingerprint=F.lit(fingerprint), library_version=F.lit(__version__),
-    )
+    declared, source = F.coalesce(one["o"], hit["o"], joined), F.coalesce(one["source"], hit["source"], first["source"], F.lit(""))
+    return {"__each": each}, {"__one": chosen(F.col("__each"), F.col("context"))}, {"__hit": found}, {"status": status, "declared": declared, "source": source, "reason": reason}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attestor.functions import stats, text
 from attestor.functions.grammar import parse_leading, parse_quantity, parse_range
 from attestor.operators import compare, datagen, evaluation, extract, factset, gate, suggest, triples
+from attestor.session import spread
 from attestor.streaming import claims as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def no_context():
@@ -253,11 +254,11 @@ def quotes_found(spark, sf_dir) -> DataFrame:
     docs = t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", space, " ").alias("body"))
     rows = docs.withColumn("w", F.split("body", " ")).withColumn("n", F.greatest(F.size("w") - 2, F.lit(0)))
     trio = F.arrays_zip(F.slice("w", 1, F.col("n")).alias("a"), F.slice("w", 2, F.col("n")).alias("b"), F.slice("w", 3, F.col("n")).alias("c"))
-    rows = rows.select("doc_id", "body", F.array_distinct(F.transform(trio, lambda x: F.xxhash64(x["a"], x["b"], x["c"]))).alias("keys"))
+    rows = rows.select("doc_id", "body", F.transform(trio, lambda x: F.xxhash64(x["a"], x["b"], x["c"])).alias("keys"))
     keys = [r.key for r in long.select("key").distinct().limit(MOST_KEYS + 1).collect()]
     if 0 < len(keys) <= MOST_KEYS:
         rows = rows.withColumn("keys", F.expr(f"filter(keys, x -> x in ({', '.join(map(str, keys))}))"))
-    met = rows.select("doc_id", "body", F.explode("keys").alias("key")).join(gate.small(long), "key")
+    met = rows.select("doc_id", "body", F.explode(F.array_distinct("keys")).alias("key")).join(gate.small(long), "key")
     found = met.where(F.contains("body", "quote")).select("item_id", "doc_id")
     if short:
         hits = docs.select("doc_id", F.explode(F.filter(text.literals(short), lambda q: F.contains(F.col("body"), q))).alias("quote"))

@@ -34,6 +34,17 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
 
 
+#: Bytes from which a scan is worth dealing out.
+SPREAD_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores, as of one file with one row group, dealt out to all; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size >= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset and Spark runs in this process."""
     sc = spark.sparkContext
