@@ -1,8 +1,8 @@
 """Compression classifier: how much better a text compresses with a dictionary of good texts than with one of bad texts.
 
-Two zstandard dictionaries are trained on labelled texts. A text's compressed sizes with either, normalised by its length
-and by each other, go through a logistic calibration that is fitted on further labelled texts and weighted to the class
-shares of all labels. Nothing but the text enters a score.
+Two zstandard dictionaries are trained on labelled texts. The differences of a text's compressed sizes with either and with
+none, normalised, go through a logistic calibration that is fitted on further labelled texts and weighted to the class shares
+of all labels. Nothing but these differences enters a score.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ class Classifier:
 
     good: bytes
     bad: bytes
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(6))
-    sd: np.ndarray = field(default_factory=lambda: np.ones(6))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(7))
+    mean: np.ndarray = field(default_factory=lambda: np.zeros(10))
+    sd: np.ndarray = field(default_factory=lambda: np.ones(10))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(11))
 
     def __post_init__(self):
         self._made = None
@@ -45,19 +45,25 @@ class Classifier:
         import zstandard as z
 
         if self._made is None:
-            self._made = [z.ZstdCompressor(level=LEVEL, dict_data=z.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False, write_checksum=False) for d in (self.good, self.bad)]
+            plain = dict(level=LEVEL, write_content_size=False, write_dict_id=False, write_checksum=False)
+            self._made = [*(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d), **plain) for d in (self.good, self.bad)), z.ZstdCompressor(**plain)]
         return self._made
 
     def sizes(self, texts: list[bytes]) -> np.ndarray:
-        """Bytes of each text: its own, compressed with the good dictionary, compressed with the bad one."""
-        good, bad = self._compressors()
-        return np.array([(len(t), len(good.compress(t)), len(bad.compress(t))) for t in texts], np.float64).reshape(-1, 3)
+        """Bytes of each text: its own, compressed with the good dictionary, with the bad one, and with none."""
+        good, bad, none = self._compressors()
+        return np.array([(len(t), len(good.compress(t)), len(bad.compress(t)), len(none.compress(t))) for t in texts], np.float64).reshape(-1, 4)
 
     @staticmethod
     def features(sizes: np.ndarray) -> np.ndarray:
-        n, g, b = sizes.T
-        d, ratio = (b - g) / (n + 20), g / (n + 20)
-        return np.stack([d, (b - g) / (b + g), ratio, ratio**2, np.log(n + 20), d * np.log(n + 20)], axis=1)
+        """Differences of compressed sizes only: what the good dictionary saves against the bad one and against none, normalised
+        by the text's size, its root, its compressed size, and as logarithms of ratios."""
+        n, good, bad, none = sizes.T
+        saved = []
+        for other in (bad, none):
+            ratio = np.log((other + 1) / (good + 1))
+            saved += [(other - good) / (n + 20), (other - good) / np.sqrt(n + 20), (other - good) / (none + 20), ratio, ratio**2]
+        return np.stack(saved, axis=1)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         x = (self.features(self.sizes(texts)) - self.mean) / self.sd

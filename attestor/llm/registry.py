@@ -30,7 +30,6 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: import_module(f"attestor.llm.{module}").query for name, module in OPERATORS}
-    found["op5_licences_notices"] = import_module("attestor.llm.licences").notices_query
     return found | {"pipeline": _pipeline}
 
 
