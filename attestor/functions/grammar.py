@@ -226,25 +226,25 @@ FIELDS = ("raw", "q", "r", "money", "exact", "lead", "numbers", "key")
 
 @lru_cache(maxsize=2)
 def _stages(compose: bool) -> tuple[dict[str, Column], ...]:
-    """The columns that parsed() adds, stage by stage, from __raw and __flag: built once, as building them takes longer than
+    """The columns that parsed() adds, stage by stage, from __lex_raw and __lex_flag: built once, as building them takes longer than
     planning them."""
-    raw = F.col("__raw")
-    x = {k: F.col(f"__{k}") for k in ("text", "tokens", "gaps", "n", "head", "first", "tail")}
-    money, exact, plain, r1 = (F.col(f"__{k}") for k in ("money", "exact", "plain", "r1"))
+    raw = F.col("__lex_raw")
+    x = {k: F.col(f"__lex_{k}") for k in ("text", "tokens", "gaps", "n", "head", "first", "tail")}
+    money, exact, plain, r1 = (F.col(f"__lex_{k}") for k in ("money", "exact", "plain", "r1"))
     r0 = F.when(r1["unit"] != "", r1)
-    q, r = F.coalesce(money, F.when(F.col("__flag"), exact), plain), F.when(F.col("__flag"), r1).otherwise(r0)
+    q, r = F.coalesce(money, F.when(F.col("__lex_flag"), exact), plain), F.when(F.col("__lex_flag"), r1).otherwise(r0)
     # Number tokens and the text key are asked for only where a value is neither a quantity nor a range.
-    words = F.col("__q").isNull() & F.col("__r").isNull()
+    words = F.col("__lex_q").isNull() & F.col("__lex_r").isNull()
     value = F.struct(
-        raw.alias("raw"), F.col("__q").alias("q"), F.col("__r").alias("r"), is_currency(F.coalesce(money, plain), r0).alias("money"), exact.isNotNull().alias("exact"), F.col("__lead").alias("lead"),
+        raw.alias("raw"), F.col("__lex_q").alias("q"), F.col("__lex_r").alias("r"), is_currency(F.coalesce(money, plain), r0).alias("money"), exact.isNotNull().alias("exact"), F.col("__lex_lead").alias("lead"),
         F.when(words, numbers(raw)).alias("numbers"), F.when(words, text_key(raw, compose)).alias("key"),
     )
     return (
-        {"__text": _text(raw)},
-        {f"__{k}": v for k, v in _lex(x["text"]).items()},
-        {f"__{k}": v for k, v in _look(x).items()},
-        {"__money": _money(x), "__exact": _exact(x), "__plain": _plain(x), "__r1": _range(x, F.lit(True)), "__lead": _leading(x)},
-        {"__q": q, "__r": r},
+        {"__lex_text": _text(raw)},
+        {f"__lex_{k}": v for k, v in _lex(x["text"]).items()},
+        {f"__lex_{k}": v for k, v in _look(x).items()},
+        {"__lex_money": _money(x), "__lex_exact": _exact(x), "__lex_plain": _plain(x), "__lex_r1": _range(x, F.lit(True)), "__lex_lead": _leading(x)},
+        {"__lex_q": q, "__lex_r": r},
         {"value": value},
     )
 
@@ -253,7 +253,7 @@ def parsed(df: DataFrame, column: str, out: str, numeric: str | Column, compose:
     """df with the struct column out: everything that a comparison needs of a value, each pattern evaluated once."""
     flag = F.col(numeric) if isinstance(numeric, str) else numeric
     keep = df.columns
-    df = df.withColumns({"__raw": F.col(column), "__flag": false_if_null(flag)})
+    df = df.withColumns({"__lex_raw": F.col(column), "__lex_flag": false_if_null(flag)})
     *stages, last = _stages(compose)
     for stage in stages:
         df = df.withColumns(stage)

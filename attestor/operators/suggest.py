@@ -100,7 +100,8 @@ def suggest_aliases(unlinked: DataFrame, surfaces: DataFrame | None = None, alia
     runs = F.filter(F.regexp_extract_all("text", F.lit(CAPITALISED), F.lit(1)), lambda p: F.length(p) > 1)
     asked = open_.select("text_id", F.col("entity").alias("__of"), F.explode(F.array_distinct(F.transform(F.concat("found", runs), lambda x: F.lower(F.btrim(x, F.lit(".,;:")))))).alias("name"))
     taken = asked.join(names, "name").where(F.col("__entity") != F.col("__of")).groupBy("text_id", "__of").agg(F.collect_set("name").alias("__taken"))
-    rows = rows.join(taken, (rows["text_id"] == taken["text_id"]) & (rows["entity"] == taken["__of"]), "left").drop(taken["text_id"])
+    taken = taken.withColumnRenamed("text_id", "__id")
+    rows = rows.join(taken, (F.col("text_id") == F.col("__id")) & (F.col("entity") == F.col("__of")), "left")
     return rows.select("text_id", candidates(F.col("text"), F.col("__own"), F.coalesce("__taken", none)).alias("candidates")).where("size(candidates) > 0")
 
 

@@ -11,7 +11,10 @@ from attestor.functions import stats
 from attestor.functions.grammar import parse_leading, parse_quantity, parse_range, parsed
 from attestor.functions.text import content_words, false_if_null, let, settled, shortest, squeeze, strip
 from attestor.operators.compare import DIFFER, outcome
-from attestor.operators.extract import is_grounded
+from attestor.operators.evaluation import trial_status
+from attestor.operators.extract import extract, is_grounded
+from attestor.operators.factset import FactSet
+from attestor.operators.gate import gate
 
 NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
 ANY_NUMBER = r"[-+]?" + NUMBER
@@ -204,3 +207,25 @@ def violations(verdicts: DataFrame, normalise: Callable[[Column], Column] = lamb
     }
     broken = F.array_compact(F.array(*(F.when(false_if_null(c), F.lit(name)) for name, c in rules.items())))
     return verdicts.withColumn("rule", F.explode(broken))
+
+
+def run(fs: FactSet, texts: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """texts (trial, condition, entity, relation, text) with value, declared, source and status of each trial of a fact set.
+
+    Passages go through extraction and the gate; only claims about the trial's own entity and relation count. The status is
+    BLOCK if any of them is blocked, else VERIFIED if any is verified, else HELD, also where nothing was claimed. answers
+    (trial, entity, relation, answer) are what a model said; without them the rule extractor reads the passages.
+    """
+    spark = texts.sparkSession
+    slots, aliases, facts = fs.slot_table(spark), fs.alias_table(spark), fs.fact_table(spark)
+    passages = texts.select(F.col("trial").alias("passage_id"), "text")
+    said = None if answers is None else answers.withColumnRenamed("trial", "passage_id")
+    found = extract(passages, aliases, slots, facts, answers=said, normalise=fs.normalise, aliases=fs.unit_aliases)
+    claims = found.where("state = 'claim'").select("passage_id", F.col("entity").alias("entity_mention"), "relation", F.col("value").alias("claimed_value"), F.lit(None).cast("map<string,string>").alias("context"))
+    judged = gate(claims, aliases, slots, fs.fingerprint(), fs.normalise)
+    own = texts.select(F.col("trial").alias("passage_id"), F.col("entity").alias("__e"), F.col("relation").alias("__r"))
+    mine = judged.join(own, "passage_id").where((F.col("entity") == F.col("__e")) & (F.col("relation") == F.col("__r")))
+    folded = mine.groupBy("passage_id").agg(trial_status(F.col("status")).alias("status"), F.min("claimed_value").alias("value"))
+    declared = facts.groupBy("entity", "relation").agg(F.min_by("o", "pos").alias("declared"), F.min_by("source", "pos").alias("source"))
+    rows = texts.join(folded.withColumnRenamed("passage_id", "trial"), "trial", "left").join(F.broadcast(declared), ["entity", "relation"], "left")
+    return rows.withColumn("status", F.coalesce("status", F.lit("HELD")))
