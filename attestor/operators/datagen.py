@@ -313,6 +313,16 @@ def corrupt_examples(kb: DataFrame, triples: DataFrame, n: int, seed: int = 0, k
     return example(rows, "corrupt", seed, question, query, result, answer, relation=F.col("r"), subject=F.col("s"), corrupted_object=F.col("wrong_o"), kb_answer=F.col("answer"), true_object_from_source=F.col("o"), top_score=F.col("score"))
 
 
+def live_answers(kb: DataFrame, triples: DataFrame, seed: int = 0, least: float = KNOWN) -> DataFrame:
+    """s, r, o, question, answer, score of all triples: a forward question, and the knowledge base's first candidate with its
+    citation, or that it isn't known where the score is below least or there is no fact."""
+    rows = asked(triples.select("s", "r", "o").distinct(), seed, ("forward",))
+    facts = triples_of(kb).groupBy("s", "r").agg(F.min("o").alias("__top"), F.first("score").alias("score"))
+    rows = rows.join(facts, ["s", "r"], "left")
+    known = F.concat(F.col("__top"), F.lit(". "), cited(F.col("s"), F.col("r"), F.col("__top")))
+    return rows.select("s", "r", "o", "question", F.when(F.col("score") >= least, known).otherwise(F.lit(IDK_ANSWER)).alias("answer"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def all_examples(kb: DataFrame, train: DataFrame, held: DataFrame, counts: dict[str, int], seed: int = 0) -> DataFrame:
     """The union of all generators, so many examples of each: qa, chains, idk_absent, idk_holdout, corrupt."""
     made = {

@@ -620,4 +620,4 @@ def json_field_sum(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.sum("p.k").alias("total"))
 
 
-from attestor.plans import answers, examples, texts, trials  # noqa: E402, F401  # they register their queries
+from attestor.plans import answers, examples, sets, texts, trials  # noqa: E402, F401  # they register their queries
