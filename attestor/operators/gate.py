@@ -84,10 +84,10 @@ def gate(claims: DataFrame, aliases: DataFrame, slots: DataFrame, fingerprint: s
     check_arguments(claims)
     added = ("entity", "status", "declared", "source", "reason", "factset_fingerprint", "library_version")
     keep = [c for c in claims.columns if c not in added]
-    known = small(slots.select(F.col("entity").alias("__e"), F.col("relation").alias("__r"), F.col("numeric").alias("__n"), F.col("variants").alias("__variants")))
+    known = small(slots.select(F.col("entity").alias("__slot_entity"), F.col("relation").alias("__slot_relation"), F.col("numeric").alias("__slot_numeric"), F.col("variants").alias("__variants")))
     rows = resolve(claims, aliases)
-    rows = rows.join(known, (rows["entity"] == F.col("__e")) & (rows["relation"] == F.col("__r")), "left").drop("__e", "__r")
-    rows = rows.withColumn("__normal", normalise(F.col("claimed_value"))).withColumn("__numeric", F.coalesce("__n", F.lit(False)))
+    rows = rows.join(known, (rows["entity"] == F.col("__slot_entity")) & (rows["relation"] == F.col("__slot_relation")), "left").drop("__slot_entity", "__slot_relation")
+    rows = rows.withColumn("__normal", normalise(F.col("claimed_value"))).withColumn("__numeric", F.coalesce("__slot_numeric", F.lit(False)))
     rows = parsed(rows, "__normal", "__c", "__numeric", compose)
     *stages, verdict = _stages()
     for stage in stages:
