@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import arrow_batches, per_batch, read_binary_files, shared_path, table, write_binary_files
+from attestor.llm.common import arrow_batches, materialised, per_batch, read_binary_files, shared_path, table, write_binary_files
 
 #: Ids in a word for each selector.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -344,7 +344,8 @@ def token_table(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     path = shared_path(spark, "shards")
     write_shards(docs, tokenizer, path)
-    return starts(read_shards(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    # What the shards say of each document is written down, as it is used twice and costs reading the shards.
+    return starts(materialised(read_shards(spark, path), "directory")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
