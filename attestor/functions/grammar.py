@@ -243,7 +243,9 @@ def _stages(compose: bool) -> tuple[dict[str, Column], ...]:
         {"__lex_text": _text(raw)},
         {f"__lex_{k}": v for k, v in _lex(x["text"]).items()},
         {f"__lex_{k}": v for k, v in _look(x).items()},
-        {"__lex_money": _money(x), "__lex_exact": _exact(x), "__lex_plain": _plain(x), "__lex_r1": _range(x, F.lit(True)), "__lex_lead": _leading(x)},
+        {"__lex_money": _money(x), "__lex_plain": _plain(x), "__lex_r1": _range(x, F.lit(True)), "__lex_lead": _leading(x)},
+        # An exact notation is asked for only of a value that isn't money, and else may be something other than a plain number.
+        {"__lex_exact": F.when(money.isNull() & (F.col("__lex_flag") | plain.isNull()), _exact(x))},
         {"__lex_q": q, "__lex_r": r},
         {"value": value},
     )
