@@ -131,8 +131,7 @@ def search_block(best: Best, queries: np.ndarray, query_ids: np.ndarray, ids: np
         m = min(2 * best.k, len(distinct))
         top = np.argpartition(value, len(distinct) - m, axis=1)[:, len(distinct) - m :]
         row = np.arange(len(q))[:, None]
-        reach = value + error
-        reach[~np.isfinite(reach)] = np.inf
+        reach = value + error  # finite, as nothing in either is above one but for the roots of the dimension
         first_ones = reach[row, top] >= floor()[:, None]
         reranked += rerank(*(x[first_ones] for x in np.broadcast_arrays(row, top)))
         rest = reach >= floor()[:, None]
