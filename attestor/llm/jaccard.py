@@ -210,8 +210,9 @@ def near_copies(docs: DataFrame, words: int, similarity: tuple[int, int]) -> Dat
     dealt = sizes.join(blocks, "label").select("label", "node", "text_key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("node", "text_key", F.xxhash64("label", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"))
     marks = nodes.select("node", "low")
-    chosen = docs.select(text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text")).join(sizes.select("text_key"), "text_key", "left_semi")
-    texts = chosen.groupBy("text_key").agg(F.first("text").alias("text"))
+    # Copies of a text become one where they are read, so that the most copied text isn't one task's; then the chosen ones stay.
+    single = docs.select(text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text")).groupBy("text_key").agg(F.first("text").alias("text"))
+    texts = single.join(sizes.select("text_key"), "text_key", "left_semi")
 
     def marked(batch: pa.RecordBatch) -> dict:
         low = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, HASHES)
