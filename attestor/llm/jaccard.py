@@ -202,17 +202,20 @@ def near_copies(docs: DataFrame, words: int, similarity: tuple[int, int]) -> Dat
 
     rows = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary"))
     own = materialised(per_batch(rows, "doc_id long, text_key binary, bytes long, n long, node binary, low binary", sketch, 256), "sketches")
-    nodes = materialised(own.groupBy("node").agg(F.min("text_key").alias("text_key"), F.max("bytes").alias("bytes"), F.first("n").alias("n"), F.first("low").alias("low")), "nodes")
+    first = F.min(F.struct("text_key", "doc_id")).alias("first")
+    nodes = materialised(own.groupBy("node").agg(first, F.max("bytes").alias("bytes"), F.first("n").alias("n"), F.first("low").alias("low")).select("node", "first.text_key", F.col("first.doc_id").alias("rep"), "bytes", "n", "low"), "nodes")
     loose = components(loose_links(nodes))
-    sizes = nodes.select("node", "text_key", "bytes").join(loose, "node")
+    sizes = nodes.select("node", "text_key", "rep", "bytes").join(loose, "node")
     blocks = sizes.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES, F.lit(1))).cast("long").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = sizes.join(blocks, "label").select("label", "node", "text_key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("node", "text_key", F.xxhash64("label", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"))
     marks = nodes.select("node", "low")
-    # Copies of a text become one where they are read, so that the most copied text isn't one task's; then the chosen ones stay.
-    single = docs.select(text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text")).groupBy("text_key").agg(F.first("text").alias("text"))
-    texts = single.join(sizes.select("text_key"), "text_key", "left_semi")
+    # One row stands for a text, known by its doc_id too, so that the copies of a text aren't one task's.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))
+    wanted = sizes.select(F.col("text_key").alias("of"), "rep")
+    chosen = rows.join(wanted, (F.col("text_key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    texts = chosen.groupBy("text_key").agg(F.first("text").alias("text"))
 
     def marked(batch: pa.RecordBatch) -> dict:
         low = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, HASHES)
