@@ -18,7 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges never meet in one task) and then the label of the label, so that a path of n edges takes about log2(n) rounds.
     Labels are written to the shared folder each round, which cuts the lineage and survives a lost executor.
     """
-    both = materialised(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
+    # Both directions come from one evaluation of the links: which links of a group are given may depend on the order in which
+    # rows arrive, and the directions of two evaluations need not belong together.
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = materialised(edges.where("a <> b").select(F.inline(F.array(way("a", "b"), way("b", "a")))).distinct(), "edges")
     labels = materialised(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     # A hub's edges and the nodes of a large component share a key of the two joins below: the first is split by hubs, if there
     # are any, the second by a part of each node's hash, for which labels are repeated.
