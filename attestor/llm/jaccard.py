@@ -1,40 +1,49 @@
-"""Near copies by the exact Jaccard similarity of shingle sets; minimum hashes only say which pairs have to be verified.
-
-A text's set holds the 64-bit hashes of its shingles. Texts with one set are one node. HASHES minimum hashes in bands of ROWS
-deal the nodes into buckets: a pair at a similarity s shares no bucket with probability (1 - s^ROWS)^(HASHES / ROWS), 2.6e-5
-at 0.8. Pairs of a bucket in which at least LEAST minimum hashes agree are loose links (at 0.8 fewer agree with probability
-below 1e-6). The nodes of each component of loose links then meet with their texts, and only pairs that are verified on the
-whole sets are links. A component of many or long texts is dealt out in blocks, one task for each pair of blocks, so every
-pair of it meets in some task and no task holds an unbounded group.
+"""Near copies by SimHash; the exact Jaccard similarity of shingle sets then says which of the pairs that it finds are links.
+
+A text's set holds the 64-bit hashes of its shingles. Texts with one set are one node. The SimHash fingerprint of a set has
+64 WORDS bits: a bit is set if it is in over half of the hashes, mixed anew for each word. Two sets of equal size at a
+similarity s have the cosine 2 s / (1 + s), so of their bits the share arccos(2 s / (1 + s)) / pi differs on average: 0.15 at
+0.8. Fingerprints within `most_bits` of each other are sought by simhash.links, which lets pairs of that share meet. The nodes
+of each component of these loose links then meet with their texts, and only pairs that are verified on the whole sets are
+links. A component of many or long texts is dealt out in blocks, one task for each pair of blocks, so every pair of it meets
+in some task and no task holds an unbounded group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import materialised, per_batch
+from attestor.llm.common import materialised, per_batch, release
 from attestor.llm.components import components
+from attestor.llm.simhash import _binary, _distance, _mix, _words, links, majority_bits
 
-HASHES, ROWS, LEAST = 80, 4, 44
-#: Buckets up to PAIRS are compared pair by pair in vectors, those up to SEARCHED by search; larger ones are linked whole, as loose links may be.
-PAIRS, SEARCHED = 32, 4000
+#: 64-bit words of a fingerprint, and standard deviations of the number of differing bits that a loose link may have above the mean.
+WORDS, ABOVE = 4, 4.75
+#: Buckets of fingerprints up to PAIRS are compared in vectors; larger ones than SEARCHED are dealt out.
+PAIRS, SEARCHED = 256, 20_000
 #: Most nodes and bytes of text in a block.
 BLOCK, BLOCK_BYTES = 2000, 16 << 20
 
-_rng = np.random.default_rng(80)
-FLIP, TIMES = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64), _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FLIP = np.random.default_rng(80).integers(0, 1 << 63, WORDS, dtype=np.uint64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def differing(similarity: tuple[int, int]) -> float:
+    """Share of bits that differ on average at a similarity part / whole."""
+    part, whole = similarity
+    return acos(2 * part / (part + whole)) / pi
+
+
+def most_bits(similarity: tuple[int, int]) -> int:
+    """Most differing bits of a loose link."""
+    p, bits = differing(similarity), 64 * WORDS
+    return int(bits * p + ABOVE * sqrt(bits * p * (1 - p)))
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -49,40 +58,21 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(xxh64_digest, own)), ">u8").astype(np.uint64))
 
 
-def minimum_hashes(sets: list[np.ndarray]) -> np.ndarray:
-    """HASHES uint64 for each set; those of an empty set are 0."""
-    out = np.zeros((len(sets), HASHES), np.uint64)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    full = np.flatnonzero(sizes)
-    if len(full):
-        flat, starts = np.concatenate(sets), (np.cumsum(sizes) - sizes)[full]
-        for k in range(HASHES):
-            out[full, k] = np.minimum.reduceat((flat ^ FLIP[k]) * TIMES[k], starts)
-    return out
-
+def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """WORDS uint64 for each set; those of an empty set are 0."""
+    flat, sizes = np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64)
+    return np.stack([majority_bits(_mix(flat ^ x), sizes) for x in FLIP], axis=1)
 
-def _bands(low: np.ndarray) -> np.ndarray:
-    """A bucket for each row and band."""
-    out = np.broadcast_to(np.arange(1, HASHES // ROWS + 1, dtype=np.uint64), (len(low), HASHES // ROWS))
-    for r in range(ROWS):
-        out = _mix(out + low[:, r::ROWS])
-    return out
 
-
-def _fixed(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of width bytes from a binary column without nulls."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
-
-
-def search(marks: np.ndarray, verify=None) -> list[tuple[int, int]]:
-    """Links that connect all rows between which at least LEAST marks agree and which verify(row, others) confirms."""
-    found, left = [], np.arange(len(marks))
+def search(words: np.ndarray, most: int, verify) -> list[tuple[int, int]]:
+    """Links that connect all rows which are within so many bits and which verify(row, others) confirms."""
+    found, left = [], np.arange(len(words))
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.count_nonzero(marks[left] == marks[x], axis=1) >= LEAST
-            if verify and near.any():
+            near = _distance(words[left], words[x]) <= most
+            if near.any():
                 near[near] = verify(x, left[near])
             found += [(x, y) for y in left[near]]
             queue += left[near].tolist()
@@ -90,24 +80,6 @@ def search(marks: np.ndarray, verify=None) -> list[tuple[int, int]]:
     return found
 
 
-def _loose(bucket: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Loose links of rows that are sorted by bucket."""
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    sizes = np.diff(np.r_[starts, len(bucket)])
-    little = np.repeat(sizes, sizes) <= PAIRS
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for d in range(1, int(sizes[sizes <= PAIRS].max(initial=1))):
-        i = np.flatnonzero(little[:-d] & (bucket[:-d] == bucket[d:]))
-        i = i[np.count_nonzero(marks[i] == marks[i + d], axis=1) >= LEAST]
-        a.append(i)
-        b.append(i + d)
-    for s, c in zip(starts[sizes > PAIRS], sizes[sizes > PAIRS], strict=True):
-        links = np.array(search(marks[s : s + c]) if c <= SEARCHED else [(0, i) for i in range(1, c)], np.int64).reshape(-1, 2)
-        a.append(s + links[:, 0])
-        b.append(s + links[:, 1])
-    return np.concatenate(a), np.concatenate(b)
-
-
 def _grouped(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.Table]:
     """Tables of whole groups of the first column, by which the batches are sorted; a new one begins at so many rows or bytes."""
     held: list[pa.RecordBatch] = []
@@ -129,37 +101,15 @@ def _grouped(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def loose_links(nodes: DataFrame) -> DataFrame:
-    """a, b: loose links between nodes (node, low, marks)."""
-    def expand(batch: pa.RecordBatch) -> dict:
-        low = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, HASHES)
-        every = np.repeat(np.arange(batch.num_rows), HASHES // ROWS)
-        return {"bucket": _bands(low).ravel().view(np.int64), "node": batch.column(0).take(pa.array(every)), "marks": pa.array(_mix(low).astype(np.uint8).view(f"V{HASHES}").ravel().tolist(), pa.binary()).take(pa.array(every))}
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, 100_000, 1 << 30):
-            bucket, node = t.column(0).to_numpy(), t.column(1).combine_chunks()
-            again = np.zeros(len(bucket), bool)  # rows whose bucket has others
-            again[1:] = bucket[1:] == bucket[:-1]
-            again[:-1] |= again[1:]
-            at = np.flatnonzero(again)
-            if len(at):
-                a, b = _loose(bucket[at], _fixed(t.column(2).take(pa.array(at)), HASHES))
-                pairs = pa.Table.from_pydict({"a": node.take(pa.array(at[a])), "b": node.take(pa.array(at[b]))}).group_by(["a", "b"]).aggregate([])
-                yield from pairs.cast(pa.schema([("a", pa.binary()), ("b", pa.binary())])).combine_chunks().to_batches()
-
-    rows = per_batch(nodes.where("n > 0").select("node", "low"), "bucket long, node binary, marks binary", expand, 4096)
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(compare, "a binary, b binary")
-
-
 def verified_links(texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """a, b: links that join every two nodes of a group whose sets are as similar; texts: group, node, marks, text."""
+    """a, b: links that join every two nodes of a group whose sets are as similar; texts: group, node, fp, text."""
     part, whole = similarity
+    most = most_bits(similarity)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, 4096, 32 << 20):
             group, node, text = t.column(0).to_numpy(), t.column(1).to_pylist(), t.column(3)
-            marks = _fixed(t.column(2), HASHES)
+            fps = _words(t.column(2).combine_chunks(), WORDS)
             cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
             a, b = [], []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
@@ -175,7 +125,7 @@ def verified_links(texts: DataFrame, words: int, similarity: tuple[int, int]) ->
                     both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
                     return whole * both >= part * (n + len(own) - both)
 
-                for x, y in search(marks[s:e], verify):
+                for x, y in search(fps[s:e], most, verify):
                     a.append(node[s + x])
                     b.append(node[s + y])
             if a:
@@ -197,30 +147,31 @@ def near_copies(docs: DataFrame, words: int, similarity: tuple[int, int]) -> Dat
     """
     def sketch(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(t, words) for t in batch.column(2).to_pylist()]
-        low = minimum_hashes(sets)
-        return {"doc_id": batch.column(0), "text_key": batch.column(1), "bytes": [len(t or b"") for t in batch.column(2).to_pylist()], "n": [len(s) for s in sets], "node": [blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "low": [x.tobytes() for x in low]}
+        return {"doc_id": batch.column(0), "text_key": batch.column(1), "bytes": [len(t or b"") for t in batch.column(2).to_pylist()], "n": [len(s) for s in sets], "node": [blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "fp": _binary(set_fingerprints(sets))}
 
     rows = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary"))
-    own = materialised(per_batch(rows, "doc_id long, text_key binary, bytes long, n long, node binary, low binary", sketch, 256), "sketches")
+    own = materialised(per_batch(rows, "doc_id long, text_key binary, bytes long, n long, node binary, fp binary", sketch, 256), "sketches")
     first = F.min(F.struct("text_key", "doc_id")).alias("first")
-    nodes = materialised(own.groupBy("node").agg(first, F.max("bytes").alias("bytes"), F.first("n").alias("n"), F.first("low").alias("low")).select("node", "first.text_key", F.col("first.doc_id").alias("rep"), "bytes", "n", "low"), "nodes")
-    loose = components(loose_links(nodes))
-    sizes = nodes.select("node", "text_key", "rep", "bytes").join(loose, "node")
-    blocks = sizes.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES, F.lit(1))).cast("long").alias("blocks"))
+    by_set = own.where("n > 0").groupBy("node").agg(first, F.max("bytes").alias("bytes"), F.first("fp").alias("fp"))
+    nodes = materialised(by_set.select("node", "first.text_key", F.col("first.doc_id").alias("rep"), "bytes", "fp"), "nodes")
+    fps = materialised(nodes.select("fp").distinct(), "fingerprints")
+    loose = components(links(fps, most_bits(similarity), 64 * WORDS, differing(similarity), PAIRS, SEARCHED))
+    release(fps)
+    # Sets with one fingerprint are linked too; what is alone needs no text.
+    labelled = nodes.join(loose.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES, F.lit(1))).cast("long")
+    groups = labelled.groupBy("label").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1").drop("nodes")
+    sizes = materialised(labelled.join(groups, "label").select("label", "node", "text_key", "rep", "fp", "blocks"), "groups")
+    release(nodes)
+    release(loose)
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = sizes.join(blocks, "label").select("label", "node", "text_key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("node", "text_key", F.xxhash64("label", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"))
-    marks = nodes.select("node", "low")
+    dealt = sizes.select("label", "node", "text_key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("node", "text_key", "fp", F.xxhash64("label", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"))
     # One row stands for a text, known by its doc_id too, so that the copies of a text aren't one task's.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))
     wanted = sizes.select(F.col("text_key").alias("of"), "rep")
     chosen = rows.join(wanted, (F.col("text_key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     texts = chosen.groupBy("text_key").agg(F.first("text").alias("text"))
-
-    def marked(batch: pa.RecordBatch) -> dict:
-        low = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, HASHES)
-        return {"group": batch.column(0), "node": batch.column(1), "marks": [x.tobytes() for x in _mix(low).astype(np.uint8)], "text": batch.column(3)}
-
-    met = per_batch(dealt.join(marks, "node").join(texts, "text_key").select("group", "node", "low", "text"), "group long, node binary, marks binary, text binary", marked)
+    met = dealt.join(texts, "text_key").select("group", "node", "fp", "text")
     joined = components(verified_links(met, words, similarity))
     return own.select("doc_id", "text_key", "node").join(joined, "node", "left").select("doc_id", "text_key", F.coalesce("label", "node").alias("label"))

@@ -6,7 +6,11 @@ that any two fingerprints within tau bits are within t_i bits in some partition
 programming over the candidate counts that the partitions' value histograms (of all fingerprints) predict. For t_i = 2r
 both sides go to the buckets of all values within r bits of their own. Buckets are verified on the whole fingerprint.
 
-Nothing here is approximate: partitions and thresholds change the cost, never the result. A bucket with more rows than
+Where tau is too large for that, as for near copies by the Jaccard similarity of their shingles (see jaccard), partitions of more
+bits are dealt out again and again over the same fingerprint, and the thresholds come from the same dynamic programming, for as many
+units as a pair with a given share of differing bits needs to meet with near certainty (`links` with chance).
+
+Else nothing here is approximate: partitions and thresholds change the cost, never the result. A bucket with more rows than
 BUCKET is dealt out in blocks of that size, one task for each pair of blocks, so no task holds an unbounded group; within a
 bucket only a spanning forest of the links is emitted.
 """
@@ -24,7 +28,6 @@ from pyspark.sql import functions as F
 
 from attestor.llm.common import join_hot, materialised, per_batch, table
 from attestor.llm.components import components
-from attestor.llm.jaccard import near_copies, text_key
 
 #: Most rows of one bucket that a task holds and compares.
 BUCKET = 20_000
@@ -32,6 +35,10 @@ BUCKET = 20_000
 ROW_S, PAIR_S = 2e-6, 4e-9
 #: Shuffle rows per fingerprint above which a layout isn't considered.
 MOST_ROWS = 200
+#: Expected partitions in which a pair meets if links() is given a chance; a pair at just that share meets in none with probability exp(-MEETINGS).
+MEETINGS = 12
+#: Fewest bits of a partition there.
+LEAST_WIDTH = 12
 
 
 def _binary(words: np.ndarray) -> pa.Array:
@@ -196,9 +203,30 @@ def count_partitions(n: int, bits: int, tau: int) -> int:
     return best[1]
 
 
-def histograms(fps: DataFrame, groups: list[list[int]], k: int) -> list[np.ndarray]:
-    """How often each value (its first 16 bits) of each group occurs among all fingerprints."""
-    widths = [min(len(g), 16) for g in groups]
+def repeated_partitions(n: int, corr: np.ndarray, chance: float) -> tuple[list[list[int]], int]:
+    """Groups of bits for n fingerprints, and how many of them a pair needs of whose bits the share chance differs.
+
+    Such a pair agrees on all of w bits with probability (1 - chance)^w; w is the width that costs least if all values were
+    equally frequent, but at least LEAST_WIDTH, so that rows grow in proportion to n until buckets call for more. The bits are
+    dealt out once by their correlations and then at random, a quarter more often than needed, so that the thresholds can leave
+    out the partitions with the largest buckets.
+    """
+    bits, best = len(corr), (float("inf"), 0, 0)
+    for w in range(LEAST_WIDTH, 33):
+        need = int(np.ceil(MEETINGS / (1 - chance) ** w))
+        if need <= MOST_ROWS:
+            best = min(best, (n * need * ROW_S + n * n / 2 / 2**w * need * PAIR_S * bits / 64, w, need))
+    _, w, need = best
+    groups, rng = partitions(corr, bits // w), np.random.default_rng(w)
+    while len(groups) < need + need // 4:
+        order = rng.permutation(bits)
+        groups += [sorted(order[at : at + w].tolist()) for at in range(0, bits - w + 1, w)]
+    return groups[: need + need // 4], need
+
+
+def histograms(fps: DataFrame, groups: list[list[int]], k: int, most: int = 16) -> list[np.ndarray]:
+    """How often each value (its first bits, so many at most) of each group occurs among all fingerprints."""
+    widths = [min(len(g), most) for g in groups]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [np.zeros(1 << w, np.int64) for w in widths]
@@ -211,8 +239,10 @@ def histograms(fps: DataFrame, groups: list[list[int]], k: int) -> list[np.ndarr
             yield pa.RecordBatch.from_pydict({"part": np.full(len(key), i, np.int32), "key": key.astype(np.int32), "n": h[key]})
 
     out = [np.zeros(1 << w, np.int64) for w in widths]
-    for r in fps.select("fp").mapInArrow(run, "part int, key int, n long").groupBy("part", "key").agg(F.sum("n").alias("n")).collect():
-        out[r.part][r.key] = r.n
+    found = fps.select("fp").mapInArrow(run, "part int, key int, n long").groupBy("part", "key").agg(F.sum("n").alias("n")).toArrow()
+    part, key, count = (found.column(x).to_numpy() for x in ("part", "key", "n"))
+    for i, h in enumerate(out):
+        h[key[part == i]] = count[part == i]
     return out
 
 
@@ -231,13 +261,13 @@ def allocate(hists: list[np.ndarray], groups: list[list[int]], tau: int) -> list
     for h, g in zip(hists, groups, strict=True):
         after: dict[int, tuple[float, list[int]]] = {}
         finer = 2.0 ** (len(g) - (len(h).bit_length() - 1))
+        own = {-1: 0.0}
+        for r in (0, 1):
+            rows = _spread(h, r).astype(float) * (1 + (len(g) - (len(h).bit_length() - 1)) * r / (1 + len(g)))
+            own[r] = n * len(_ball(len(g), r)) * ROW_S + (rows**2).sum() / 2 / finer * PAIR_S
         for have, (cost, radii) in best.items():
-            for r in (-1, 0, 1):
+            for r, more in own.items():
                 units = min(tau + 1, have + (2 * r + 1 if r >= 0 else 0))
-                more = 0.0
-                if r >= 0:
-                    rows = _spread(h, r).astype(float) * (1 + (len(g) - (len(h).bit_length() - 1)) * r / (1 + len(g)))
-                    more = n * len(_ball(len(g), r)) * ROW_S + (rows**2).sum() / 2 / finer * PAIR_S
                 if units not in after or cost + more < after[units][0]:
                     after[units] = (cost + more, [*radii, r])
         best = after
@@ -250,15 +280,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _bucket_rows(words: np.ndarray, group: list[int], part: int, radius: int, rows_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket ids, row numbers, and codes: twice the partition, plus one in the bucket of the row's own value. rows_at: expected rows by the value's first 16 bits, for buckets that must be split."""
+def _bucket_rows(words: np.ndarray, group: list[int], part: int, radius: int, rows_at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket ids, row numbers, and codes: twice the partition, plus one in the bucket of the row's own value. rows_at: expected rows by the value's first bits, for buckets of more than most rows, which must be split."""
     v = _values(words, group)
     ball = _ball(len(group), radius)
     keys = (v[:, None] ^ ball[None, :]).ravel()
     row = np.repeat(np.arange(len(words)), len(ball))
-    code = np.tile(np.where(np.arange(len(ball)) == 0, 2 * part + 1, 2 * part).astype(np.int8), len(words))
+    code = np.tile(np.where(np.arange(len(ball)) == 0, 2 * part + 1, 2 * part).astype(np.int16), len(words))
     tag = _mix(keys + (np.uint64(part + 1) << np.uint64(56)))
-    blocks = -(-rows_at[(keys >> np.uint64(len(group) - min(len(group), 16))).astype(np.int64)] // BUCKET)
+    blocks = -(-rows_at[(keys >> np.uint64(len(group) - (len(rows_at).bit_length() - 1))).astype(np.int64)] // most)
     hot = blocks > 1
     if not hot.any():
         return tag, row, code
@@ -276,7 +306,11 @@ def _bucket_rows(words: np.ndarray, group: list[int], part: int, radius: int, ro
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
+    bits = np.bitwise_count(a ^ b)
+    out = bits[..., 0].astype(np.int32)
+    for i in range(1, bits.shape[-1]):
+        out += bits[..., i]
+    return out
 
 
 class Forest:
@@ -317,18 +351,7 @@ def link_buckets(bucket: np.ndarray, words: np.ndarray, value: np.ndarray, own:
         own_forest.add(same[i[home]], same[j[home]])
         cross.append((same[i[~equal]], same[j[~equal]]))
 
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    sizes = np.diff(np.r_[starts, n])
-    little = np.repeat(sizes, sizes) <= small
-    for d in range(1, min(small, int(sizes[sizes <= small].max(initial=0)))):
-        i = np.flatnonzero(little[:-d] & (bucket[:-d] == bucket[d:]))
-        if not len(i):
-            break
-        for at in range(0, len(i), 1 << 20):
-            j = i[at : at + (1 << 20)]
-            near = j[_distance(words[j], words[j + d]) <= tau]
-            told(near, near + d)
-    for s, c in zip(starts[sizes > small], sizes[sizes > small], strict=True):
+    for s, c in _link_small(bucket, words, tau, small, told):
         here, first = np.unique(same[s : s + c], return_index=True)
         bound = Forest(len(here))
 
@@ -352,6 +375,73 @@ def link_buckets(bucket: np.ndarray, words: np.ndarray, value: np.ndarray, own:
     return place[child], place[root]
 
 
+def _link_small(bucket: np.ndarray, words: np.ndarray, tau: int, small: int, told) -> Iterator[tuple[int, int]]:
+    """Tells all pairs within tau bits of the buckets up to small, and gives first row and size of the others."""
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    sizes = np.diff(np.r_[starts, len(bucket)])
+    little = np.repeat(sizes, sizes) <= small
+    for d in range(1, min(small, int(sizes[sizes <= small].max(initial=0)))):
+        i = np.flatnonzero(little[:-d] & (bucket[:-d] == bucket[d:]))
+        if not len(i):
+            break
+        for at in range(0, len(i), 1 << 20):
+            j = i[at : at + (1 << 20)]
+            near = j[_distance(words[j], words[j + d]) <= tau]
+            told(near, near + d)
+    return zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True)
+
+
+def _merges(a: np.ndarray, b: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As few pairs that join the same rows at each level, ascending, and below."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    order = np.argsort(level, kind="stable")
+    x, y, level = at[: len(a)][order], at[len(a) :][order], level[order]
+    forest, every = Forest(len(nodes)), np.arange(len(nodes))
+    out = [(a[:0], b[:0], level[:0])]
+    cuts = np.flatnonzero(np.r_[True, level[1:] != level[:-1], True]) if len(level) else np.zeros(1, np.int64)
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        root = forest.label == every
+        forest.add(x[s:e], y[s:e])
+        child = np.flatnonzero(root & (forest.label != every))
+        out.append((nodes[child], nodes[forest.label[child]], np.full(len(child), level[s])))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def link_first(bucket: np.ndarray, words: np.ndarray, code: np.ndarray, masks: dict[int, np.ndarray], tau: int, small: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links like those of link_buckets for many partitions, in most of which a near pair has equal values and so meets again.
+
+    A pair is at home in the first partition (masks: bits of those in use, ascending) on whose bits it agrees; a pair that agrees
+    on none is at home wherever it meets. Pairs elsewhere are known, but links that are given may rely only on known pairs of
+    earlier partitions, and on none of their own: so no two tasks rely on each other.
+    """
+    _, same = _distinct(words)
+    part = code >> 1
+    place = np.zeros(same.max() + 1, np.int64)
+    place[same[::-1]] = np.arange(len(same))[::-1]
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(same[:0], same[:0], same[:0])]
+
+    def told(i: np.ndarray, j: np.ndarray) -> None:
+        apart = words[i] ^ words[j]
+        first, left = np.full(len(i), max(masks) + 1), np.arange(len(i))
+        for p, mask in masks.items():
+            if not len(left):
+                break
+            agree = ~(apart[left] & mask).any(axis=1)
+            first[left[agree]] = p
+            left = left[~agree]
+        away = (first <= max(masks)) & (first != part[i])
+        held.append((same[i], same[j], 2 * first + away))
+        if len(held) >= 64 or len(i) >= 1 << 18:
+            held[:] = [_merges(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+
+    for s, c in _link_small(bucket, words, tau, small, told):
+        _, once = np.unique(same[s : s + c], return_index=True)
+        _link_large(s + once, words, tau, told)
+    a, b, level = _merges(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    own = level % 2 == 0
+    return place[a[own]], place[b[own]]
+
+
 def _link_large(left: np.ndarray, words: np.ndarray, tau: int, told) -> None:
     """Links that connect the rows of a large bucket: what is within tau of a pivot is one component and needs no comparison
     among itself; only rows within 2 tau of the pivot can be near those."""
@@ -371,19 +461,26 @@ def _link_large(left: np.ndarray, words: np.ndarray, tau: int, told) -> None:
         left = rest
 
 
-def links(fps: DataFrame, tau: int, bits: int = 64) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that join every two within tau bits into one component."""
-    k = bits // 64
+def links(fps: DataFrame, tau: int, bits: int = 64, chance: float | None = None, small: int = 48, most: int | None = None) -> DataFrame:
+    """a, b: links between distinct fingerprints (column fp) that join every two within tau bits into one component.
+
+    With chance, they join two within tau bits of which that share of all bits differs with a probability of about
+    1 - exp(-MEETINGS), more if fewer differ. Buckets up to small are compared in vectors; larger ones than most are dealt out.
+    """
+    k, most = bits // 64, most or BUCKET
     n = fps.count()
-    m = count_partitions(n, bits, tau)
-    groups = partitions(correlations(fps, bits), m)
-    hists = histograms(fps, groups, k)
-    radii = allocate(hists, groups, tau)
+    if chance is None:
+        groups, units, first = partitions(correlations(fps, bits), count_partitions(n, bits, tau)), tau + 1, 16
+    else:
+        (groups, units), first = repeated_partitions(n, correlations(fps, bits), chance), min(16, max(8, (n // most).bit_length() + 4))
+    hists = histograms(fps, groups, k, first)
+    radii = allocate(hists, groups, units - 1)
+    masks = {i: np.array([sum(1 << 63 - b % 64 for b in g if b // 64 == x) for x in range(k)], np.uint64) for i, (g, r) in enumerate(zip(groups, radii, strict=True)) if r >= 0}
     expected = [_spread(h, max(r, 0)) for h, r in zip(hists, radii, strict=True)]
 
     def expand(batch: pa.RecordBatch) -> dict:
         words = _words(batch.column(0), k)
-        made = [_bucket_rows(words, g, i, r, e) for i, (g, r, e) in enumerate(zip(groups, radii, expected, strict=True)) if r >= 0]
+        made = [_bucket_rows(words, g, i, r, e, most) for i, (g, r, e) in enumerate(zip(groups, radii, expected, strict=True)) if r >= 0]
         return {"bucket": np.concatenate([x[0] for x in made]).view(np.int64), "code": np.concatenate([x[2] for x in made]), "fp": _binary(words[np.concatenate([x[1] for x in made])])}
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,11 +488,14 @@ def links(fps: DataFrame, tau: int, bits: int = 64) -> DataFrame:
         rows = 0
 
         def out(bucket: np.ndarray, code: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
-            value = np.zeros(len(bucket), np.uint64)
-            for part in np.unique(code >> 1):
-                here = np.flatnonzero(code >> 1 == part)
-                value[here] = _values(words[here], groups[part])
-            a, b = link_buckets(bucket, words, value, (code & 1).astype(bool), tau)
+            if chance is None:
+                value = np.zeros(len(bucket), np.uint64)
+                for part in np.unique(code >> 1):
+                    here = np.flatnonzero(code >> 1 == part)
+                    value[here] = _values(words[here], groups[part])
+                a, b = link_buckets(bucket, words, value, (code & 1).astype(bool), tau, small)
+            else:
+                a, b = link_first(bucket, words, code, masks, tau, small)
             if len(a):
                 yield pa.RecordBatch.from_arrays([_binary(words[a]), _binary(words[b])], names=["a", "b"])
 
@@ -412,7 +512,7 @@ def links(fps: DataFrame, tau: int, bits: int = 64) -> DataFrame:
         if rows:
             yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    rows = per_batch(fps.select("fp"), "bucket long, code byte, fp binary", expand, 4096)
+    rows = per_batch(fps.select("fp"), "bucket long, code short, fp binary", expand, 4096)
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "a binary, b binary")
 
 
@@ -440,6 +540,8 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4,
     jaccard). A row is known by its doc_id and its text: rows without a doc_id and different texts under one doc_id are rows
     like others; a row without a doc_id stays only where its component has no other. Exact repeats of a row stay once.
     """
+    from attestor.llm.jaccard import near_copies, text_key  # it builds on this module
+
     found = near_copies(docs, words, similarity)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     kept = found.groupBy("label").agg(F.min(row).alias("row")).select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key"))
