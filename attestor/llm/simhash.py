@@ -544,10 +544,13 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4,
 
     found = near_copies(docs, words, similarity)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    kept = found.groupBy("label").agg(F.min(row).alias("row")).select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key"))
-    own = docs.withColumn("__text", text_key(F.col("text")))
-    chosen = own.join(kept, (own["__text"] == kept["__key"]) & own["doc_id"].cast("long").eqNullSafe(kept["__id"]), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "__text"]).drop("__text")
+    kept = found.groupBy("label").agg(F.min(row).alias("row")).select("row.*")
+    # A row's keys are never null, and repeats are sought by the keys of the join, so that texts are shuffled once.
+    known = lambda doc_id: {"__id": F.coalesce(doc_id, F.lit(0)), "__none": doc_id.isNull()}
+    own = docs.withColumns({"__text": text_key(F.col("text")), **known(F.col("doc_id").cast("long"))})
+    kept = kept.select(F.col("text_key").alias("__text"), *(x.alias(name) for name, x in known(F.col("doc_id")).items()))
+    keys = ["__text", "__id", "__none"]
+    return own.join(kept, keys, "left_semi").dropDuplicates([*keys, "doc_id"]).drop(*keys)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
