@@ -311,7 +311,11 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """shard, place, doc_id, within (ids before it in its shard), n_tokens, ids_crc32 of every document in the shard files."""
+    """shard, place, doc_id, within (ids before it in its shard), n_tokens, ids_crc32 of every document in the shard files.
+
+    As many tasks read the files as wrote them: file splits would make several times as many, and each task's own output costs
+    files and the processes that set their modes.
+    """
     def f(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("shard", "place", "doc_id", "within", "n_tokens", "ids_crc32")}
         for content in batch.column(0).to_pylist():
@@ -329,7 +333,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
         return out
 
     schema = "shard long, place int, doc_id long, within long, n_tokens long, ids_crc32 long"
-    return per_batch(read_binary_files(spark, path).select("content"), schema, f, 1)
+    files = read_binary_files(spark, path).select("content").coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return per_batch(files, schema, f, 1)
 
 
 def starts(shards: DataFrame) -> DataFrame:
@@ -344,8 +349,11 @@ def token_table(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     path = shared_path(spark, "shards")
     write_shards(docs, tokenizer, path)
-    # What the shards say of each document is written down, as it is used twice and costs reading the shards.
-    return starts(materialised(read_shards(spark, path), "directory")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    # What the shards say of each document is written down, as it is used twice and costs reading the shards. Files go to the
+    # workers one by one: a task's batch would hold all of its files on both sides.
+    with arrow_batches(spark, 1):
+        directory = materialised(read_shards(spark, path), "directory")
+    return starts(directory).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
