@@ -30,6 +30,8 @@ WORDS, ABOVE = 4, 4.75
 PAIRS, SEARCHED = 256, 20_000
 #: Most nodes and bytes of text in a block.
 BLOCK, BLOCK_BYTES = 2000, 16 << 20
+#: Hashes that are sought in a set at once, but for a longer set.
+SOUGHT = 1 << 18
 
 FLIP = np.random.default_rng(80).integers(0, 1 << 63, WORDS, dtype=np.uint64)
 
@@ -64,6 +66,18 @@ def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([majority_bits(_mix(flat ^ x), sizes) for x in FLIP], axis=1)
 
 
+def in_common(own: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes of each of the sets, none of them empty, are in own."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SOUGHT)) + 1
+    out = []
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sets)], strict=True):
+        flat = np.concatenate(sets[s:e])
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        out.append(np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[s:e]) - sizes[s:e]))
+    return np.concatenate(out)
+
+
 def search(words: np.ndarray, most: int, verify) -> list[tuple[int, int]]:
     """Links that connect all rows which are within so many bits and which verify(row, others) confirms."""
     found, left = [], np.arange(len(words))
@@ -119,11 +133,8 @@ def verified_links(texts: DataFrame, words: int, similarity: tuple[int, int]) ->
                 sizes = np.array([len(x) for x in sets], np.int64)
 
                 def verify(x: int, others: np.ndarray, sets=sets, sizes=sizes) -> np.ndarray:
-                    own, n = sets[x], sizes[others]
-                    flat = np.concatenate([sets[y] for y in others])
-                    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-                    both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
-                    return whole * both >= part * (n + len(own) - both)
+                    both = in_common(sets[x], [sets[y] for y in others])
+                    return whole * both >= part * (sizes[others] + sizes[x] - both)
 
                 for x, y in search(fps[s:e], most, verify):
                     a.append(node[s + x])

@@ -384,8 +384,9 @@ def _link_small(bucket: np.ndarray, words: np.ndarray, tau: int, small: int, tol
         i = np.flatnonzero(little[:-d] & (bucket[:-d] == bucket[d:]))
         if not len(i):
             break
-        for at in range(0, len(i), 1 << 20):
-            j = i[at : at + (1 << 20)]
+        step = (1 << 20) // words.shape[1]
+        for at in range(0, len(i), step):
+            j = i[at : at + step]
             near = j[_distance(words[j], words[j + d]) <= tau]
             told(near, near + d)
     return zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True)
@@ -452,7 +453,7 @@ def _link_large(left: np.ndarray, words: np.ndarray, tau: int, told) -> None:
         told(others, np.full(len(others), left[0]))
         maybe = left[(d > tau) & (d <= 2 * tau)]
         if len(others) and len(maybe):
-            step = max(1, (1 << 21) // len(others))
+            step = max(1, (1 << 21) // (len(others) * words.shape[1]))
             for at in range(0, len(maybe), step):
                 x = maybe[at : at + step]
                 hit = _distance(words[x][:, None, :], words[others][None, :, :]) <= tau
@@ -512,7 +513,7 @@ def links(fps: DataFrame, tau: int, bits: int = 64, chance: float | None = None,
         if rows:
             yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    rows = per_batch(fps.select("fp"), "bucket long, code short, fp binary", expand, 4096)
+    rows = per_batch(fps.select("fp"), "bucket long, code short, fp binary", expand, 4096 // k)
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "a binary, b binary")
 
 

@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from attestor.llm import decontaminate, mixing, quality, simhash, simple8b
-from attestor.llm.common import materialised, table
+from attestor.llm.common import bounded_batches, materialised, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier rejects go. It is fitted on the labels of the documents at hand."""
+    bounded_batches(spark)
     return quality.keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
+    bounded_batches(spark)
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a full 13-word window of the benchmark go, and those of whose words one in twenty is a benchmark's."""
+    bounded_batches(spark)
     own = docs.select(*COLUMNS)
     return decontaminate.without_overlap(own, table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +38,7 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row in the written shards."""
     import public_tokenizers
 
+    bounded_batches(spark)
     return simple8b.token_table(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
