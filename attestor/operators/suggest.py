@@ -11,6 +11,7 @@ from attestor.functions.grammar import parsed
 from attestor.functions.text import literals, squeeze, strip
 from attestor.operators.compare import MATCH, outcome
 from attestor.operators.extract import is_grounded, mentions
+from attestor.operators.gate import once
 
 #: Words whose qualifier would change what a value means; words that begin sentences.
 RISKY = ("per", "day", "daily", "week", "month", "year", "annual", "hour", "dose", "user", "query")
@@ -37,25 +38,32 @@ def suggest_qualifiers(held: DataFrame, normalise: Callable[[Column], Column] =
     follows the declared number, or precedes it, or both.
 
     Claims that match as they are suggest nothing. Values are compared as texts of no declared kind. Most frequent first, then
-    by first occurrence; the example is the first claim in order.
+    by first occurrence; the example is the first claim in order. What a claim says of a declared
+    value is found out once for all rows that have both.
     """
-    rows = held.withColumn("__n", normalise(F.col("claimed"))).withColumn("__r", residue(F.col("declared"), F.col("claimed")))
+    known = once(held.select("pos", "declared", "claimed"), {"__declared": F.col("declared"), "__claimed": F.col("claimed")}, lambda asked: _least(asked, normalise)).where("parts is not null")
+    first = known.groupBy("pos").agg(F.min_by(F.struct("parts", "claimed"), "way").alias("x"))
+    told = first.select("pos", F.col("x.claimed").alias("claimed"), F.explode(F.filter("x.parts", lambda p: p != "")).alias("residue"))
+    counted = told.groupBy("residue").agg(F.count(F.lit(1)).alias("n"), F.min_by("claimed", "pos").alias("example"), F.min("pos").alias("__first"))
+    risky = F.col("residue").rlike(rf"(?iU)\b(?:{'|'.join(RISKY)})\b")
+    return counted.withColumn("risky", risky).orderBy(F.desc("n"), "__first", "residue").drop("__first")
+
+
+def _least(asked: DataFrame, normalise: Callable[[Column], Column]) -> DataFrame:
+    """__declared, __claimed, way and parts of the first way that makes the claim match, of distinct pairs that don't match as they are."""
+    declared, claimed, no = F.col("__declared"), F.col("__claimed"), F.lit(False)
+    rows = asked.withColumn("__n", normalise(claimed)).withColumn("__r", residue(declared, claimed))
     head, tail = F.col("__r.head"), F.col("__r.tail")
     without = lambda c, part: F.when(part != "", F.replace(c, part, F.lit(""))).otherwise(c)
     ways = F.array(
-        F.struct(F.lit(0).alias("way"), F.array(tail).alias("parts"), without(F.col("claimed"), tail).alias("rest")), F.struct(F.lit(1).alias("way"), F.array(head).alias("parts"), without(F.col("claimed"), head).alias("rest")),
-        F.struct(F.lit(2).alias("way"), F.array(head, tail).alias("parts"), without(without(F.col("claimed"), head), tail).alias("rest")),
+        F.struct(F.lit(0).alias("way"), F.array(tail).alias("parts"), without(claimed, tail).alias("rest")), F.struct(F.lit(1).alias("way"), F.array(head).alias("parts"), without(claimed, head).alias("rest")),
+        F.struct(F.lit(2).alias("way"), F.array(head, tail).alias("parts"), without(without(claimed, head), tail).alias("rest")),
     )
     rows = rows.withColumn("__ways", F.filter(ways, lambda w: F.exists(w["parts"], lambda p: p != "")))
-    no = F.lit(False)
-    rows = parsed(parsed(rows, "declared", "__d", no), "__n", "__c", no).where(F.coalesce(outcome(F.col("__d"), F.col("__c"), no) != MATCH, F.lit(True)))
-    each = rows.where("__r is not null").select("pos", "declared", "claimed", "__d", F.explode("__ways").alias("__way"))
+    rows = parsed(parsed(rows, "__declared", "__d", no), "__n", "__c", no).where(F.coalesce(outcome(F.col("__d"), F.col("__c"), no) != MATCH, F.lit(True)))
+    each = rows.where("__r is not null").select("__declared", "__claimed", "__d", F.explode("__ways").alias("__way"))
     each = parsed(each.withColumn("__rest", normalise(F.btrim(F.col("__way.rest"), F.lit(EDGES)))), "__rest", "__c", no).where(outcome(F.col("__d"), F.col("__c"), no) == MATCH)
-    first = each.groupBy("pos").agg(F.min_by(F.struct(F.col("__way.parts").alias("parts"), "claimed"), "__way.way").alias("x"))
-    told = first.select("pos", F.col("x.claimed").alias("claimed"), F.explode(F.filter("x.parts", lambda p: p != "")).alias("residue"))
-    counted = told.groupBy("residue").agg(F.count(F.lit(1)).alias("n"), F.min_by("claimed", "pos").alias("example"), F.min("pos").alias("__first"))
-    risky = F.col("residue").rlike(rf"(?iU)\b(?:{'|'.join(RISKY)})\b")
-    return counted.withColumn("risky", risky).orderBy(F.desc("n"), "__first", "residue").drop("__first")
+    return each.groupBy("__declared", "__claimed").agg(F.min("__way.way").alias("way"), F.min_by("__way.parts", "__way.way").alias("parts"))
 
 
 def stems(names: Column) -> Column:
