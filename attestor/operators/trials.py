@@ -14,7 +14,7 @@ from attestor.operators.compare import DIFFER, outcome
 from attestor.operators.evaluation import trial_status
 from attestor.operators.extract import extract, is_grounded
 from attestor.operators.factset import FactSet
-from attestor.operators.gate import gate
+from attestor.operators.gate import gate, once
 
 NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
 ANY_NUMBER = r"[-+]?" + NUMBER
@@ -47,8 +47,14 @@ def scaled_value(value: Column, factor: Column) -> Column:
 
 def corrupted(df: DataFrame, value: str, k: str, out: str) -> DataFrame:
     """df with the column out: a clearly wrong value in the notation of value, by the k-th factor; "unspecified" for a value
-    without numbers, and the value itself where no factor makes one that provably differs."""
-    factor = F.element_at(F.array(*map(F.lit, FACTORS)), (F.pmod(F.col(k), F.lit(len(FACTORS))) + 1).cast("int"))
+    without numbers, and the value itself where no factor makes one that provably differs. A value is corrupted once for all
+    rows that have it with one factor."""
+    which = (F.pmod(F.col(k), F.lit(len(FACTORS))) + 1).cast("int")
+    return once(df, {"__value": F.col(value), "__which": which}, lambda asked: _corrupted(asked, "__value", F.col("__which"), out)).select(*df.columns, out)
+
+
+def _corrupted(df: DataFrame, value: str, which: Column, out: str) -> DataFrame:
+    factor = F.element_at(F.array(*map(F.lit, FACTORS)), which)
     tries = [factor, *map(F.lit, OTHER_FACTORS)]
     keep = df.columns
     for i, f in enumerate(tries):
