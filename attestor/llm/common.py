@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.session import materialised, shared_dir, shared_path
+from attestor.session import BATCH_BYTES, bounded_batches, materialised, shared_dir, shared_path  # noqa: F401
 
 __all__ = ["SPACE", "arrow_batches", "bounded_batches", "join_hot", "materialised", "merged", "per_batch", "read_binary_files", "release", "remove", "shared_dir", "shared_path", "table", "write_binary_files"]
 
@@ -82,20 +82,6 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-#: Most bytes of a batch between the JVM and Python, but for a longer row: either side holds whole batches for each task of an executor.
-BATCH_BYTES = 4 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Batches between the JVM and Python have at most BATCH_BYTES, or less if the session says so.
-
-    This stays set, as what is returned to a caller runs later; it changes how many rows go at once, not which.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 def write_binary_files(df: DataFrame, column: str, path: str, by: str | None = None) -> None:
     """Writes each row's bytes as one file below path (in folders by=value), through Spark's own committed text writer.
 

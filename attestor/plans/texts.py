@@ -8,7 +8,7 @@ from attestor.functions import register, text
 from attestor.operators import evaluation, extract, suggest, trials
 from attestor.plans.catalogue import query, t
 from attestor.sources import files
-from attestor.session import shared_path
+from attestor.session import bounded_batches, shared_path
 from attestor.streaming import claims as stream
 
 #: White space as Python has it, for RE2.
@@ -22,6 +22,7 @@ SENTENCE_ROWS = f"(select doc_id, (base + length(body) - length(regexp_replace(b
 @query(f"select doc_id, s, e from {SENTENCE_ROWS}")
 def sentence_offsets(spark, sf_dir):
     """Every sentence of every document by its place in the text."""
+    bounded_batches(spark)
     rows = t(spark, sf_dir, "documents").select("doc_id", F.explode(text.sentence_offsets(F.col("text"))).alias("x"))
     return rows.select("doc_id", "x.s", "x.e")
 
